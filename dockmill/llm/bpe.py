@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +23,16 @@ from pyspark.sql import functions as F
 
 from dockmill.llm.common import table
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 800_000
+CACHE_PAIRS = 500_000
 #: Unicode's White_Space; the regex module's own class has four controls more.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: The vocabulary's pre-tokenizer: fixed values.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + "]+")
-#: A space before another one: only then may a cut before a space part what belongs together.
-DOUBLE = regex.compile(" [" + SPACE + "]")
+#: The same for texts of Latin-1 characters alone, which a plain pattern splits faster.
+LATIN = re.compile("[\x00-\xff]*")
+LETTER, DIGIT, BLANK = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{BLANK}{LETTER}{DIGIT}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -37,6 +42,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Remembered:
+    """A bounded cache of two generations: what was not asked for since the last change goes."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most // 2, {}, {}
+
+    def get(self, key: str):
+        if (value := self.young.get(key)) is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class BytePairCoder:
     """Encoder and decoder of one vocabulary file."""
 
@@ -59,26 +81,29 @@ class BytePairCoder:
             self.made.setdefault(vocab[a + b], (rank, *pair))
         self.automaton = ahocorasick.Automaton()
         for t, i in self.id_of.items():
-            self.automaton.add_word(t.decode("latin-1"), (len(t), i))
+            self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
+        self.prefix: dict[int, int] = {}
         texts = {i: t for t, i in self.id_of.items()} | {i: s.encode() for s, i in self.special.items()}
-        size = max(texts) + 1
-        self.lengths = np.array([len(texts.get(i, b"")) for i in range(size)], np.int64)
+        self.size = size = max(texts) + 1
+        self.text_of = texts
+        self.sizes = [len(texts.get(i, b"")) for i in range(size)]
+        self.lengths = np.array(self.sizes, np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.blob = np.frombuffer(b"".join(texts.get(i, b"") for i in range(size)), np.uint8)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, str] = {}
+        self.pieces = Remembered(CACHE_WORDS)
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging the bytes of ``left`` and ``right`` in rank order leaves just these two."""
-        if (known := self.compatible.get((left, right))) is not None:
+        key = left * self.size + right
+        if (known := self.compatible.get(key)) is not None:
             return known
         a, b, ok = left, right, True
-        end_a, end_b = float("inf"), float("inf")  # when the parts at the border are merged away
+        end = float("inf")  # when the part at the border that was undone last had been merged away
         while True:
-            rank = self.merged.get((a, b))
-            if rank is not None and rank < min(end_a, end_b):
+            if self.merged.get((a, b), end) < end:
                 ok = False
                 break
             made_a, made_b = self.made.get(a), self.made.get(b)
@@ -86,69 +111,66 @@ class BytePairCoder:
                 break
             # undo the later merge: before it, its inner part stood at the border
             if made_b is None or (made_a is not None and made_a[0] > made_b[0]):
-                end_a, a = made_a[0], made_a[2]
+                end, a = made_a[0], made_a[2]
             else:
-                end_b, b = made_b[0] + 0.5 if made_b[0] == rank else made_b[0], made_b[1]
-        if len(self.compatible) > 2_000_000:
+                end, b = made_b[0] + 0.5, made_b[1]  # of equal merges the one further left comes first
+        if len(self.compatible) > CACHE_PAIRS:
             self.compatible.clear()
-        self.compatible[left, right] = ok
+        self.compatible[key] = ok
         return ok
 
+    def shorter(self, token: int) -> int:
+        """The longest token that is a proper prefix of ``token``, or -1."""
+        if (known := self.prefix.get(token)) is None:
+            text = self.text_of[token]
+            known = next((i for k in range(len(text) - 1, 0, -1) if (i := self.id_of.get(text[:k])) is not None), -1)
+            self.prefix[token] = known
+        return known
+
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         if (whole := self.id_of.get(piece)) is not None and self._whole(piece, whole):
             return [whole]
-        n = len(piece)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (size, token) in self.automaton.iter(piece.decode("latin-1")):
-            starts[end - size + 1].append((size, token))
-        for s in starts:
-            s.sort(reverse=True)
-        at, choice, out = 0, [0] * n, []
-        dead = bytearray(n + 1)
+        n, sizes, pairs, width = len(piece), self.sizes, self.compatible, self.size
+        longest = [0] * n
+        for end, token in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - sizes[token] + 1] = token
+        token = longest[0]
+        out, at, dead = [token], sizes[token], set()
         while at < n:
-            options, k = starts[at], choice[at]
-            while k < len(options):
-                size, token = options[k]
-                if not dead[at + size] and (not out or self.may_follow(out[-1][1], token)):
-                    break
-                k += 1
-            if k < len(options):
-                choice[at] = k + 1
-                out.append((at, token))
-                at += size
-                if at < n:
-                    choice[at] = 0
-            else:
-                dead[at] = 1
-                at, _ = out.pop()
-        return [t for _, t in out]
+            token = longest[at]
+            while True:
+                if at + sizes[token] not in dead:
+                    if not out:
+                        break
+                    fits = pairs.get(out[-1] * width + token)
+                    if fits or (fits is None and self.may_follow(out[-1], token)):
+                        break
+                if (token := self.shorter(token)) < 0:
+                    dead.add(at)
+                    token = out.pop()
+                    at -= sizes[token]
+            out.append(token)
+            at += sizes[token]
+        return out
 
     def _whole(self, piece: bytes, token: int) -> bool:
         """Tokens of the vocabulary are what their own bytes merge to, by its construction."""
         return token in self.made or len(piece) == 1
 
-    def _piece_text(self, word: str) -> str:
-        return ",".join([",".join(map(str, self.encode_piece(p.encode("utf-8")))) for p in SPLIT.findall(word)])
-
     def _plain(self, text: str) -> list[str]:
-        known, size = self.known, CACHE_WORDS
-        if DOUBLE.search(text):
-            words = SPLIT.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            words = [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
-        out = []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= size:
-                    known.clear()
-                ids = self._piece_text(w)
-                if len(w) < 200:
-                    known[w] = ids
-            out.append(ids)
-        return out
+        parts = (LATIN_SPLIT if LATIN.fullmatch(text) else SPLIT).findall(text)
+        pieces = self.pieces
+        found = [*map(pieces.young.get, parts)]
+        if None in found:
+            for k, said in enumerate(found):
+                if said is None:
+                    if (said := pieces.get(parts[k])) is None:
+                        said = ",".join(map(str, self.encode_piece(parts[k].encode("utf-8"))))
+                        if len(parts[k]) < 200:
+                            pieces.put(parts[k], said)
+                    found[k] = said
+        return found
 
     def encode_text(self, text: str) -> str:
         """Decimal ids joined by commas."""
@@ -172,6 +194,12 @@ class BytePairCoder:
         return self.blob[np.repeat(shift, lengths) + np.arange(total)].tobytes().decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def coder_of(path: str) -> BytePairCoder:
+    """One coder for each Python worker, which keeps what it remembers from task to task."""
+    return BytePairCoder(path)
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded if asked) of every whole text.
 
@@ -183,7 +211,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches):
-        coder = BytePairCoder(vocabulary)
+        coder = coder_of(vocabulary)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

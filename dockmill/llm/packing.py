@@ -10,10 +10,13 @@ lost in the end is below one sequence for each ``SHARD`` open pieces.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -24,20 +27,24 @@ from dockmill.llm.common import cut, partitions_for, table
 
 CAPACITY = 2048
 SHARD = 16_384
-CACHE_WORDS = 300_000
-#: Controls that Python counts as white space and the tokenizer does not.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+CACHE_PIECES = 800_000
+BATCH_CHARS = 2_000_000
+#: Texts that ``PIECE`` splits as the pre-tokenizer does, once lower-cased.
+PLAIN = re.compile("[\t-\r -&(-~\xa0-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]*")
+PIECE = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[^\t-\r \xa0a-z\xdf-\xf6\xf8-\xff]+")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokenizer:
-    """Ids as little-endian unsigned 32-bit bytes, by the tokenizers library, one word at a time.
+    """Ids as little-endian unsigned 32-bit bytes, by the tokenizers library, piece by piece.
 
-    The vocabulary's pre-tokenizer drops white space and never joins what it separates, so the ids
-    of a text are those of its words in order; the ids of frequent words are remembered.
+    The vocabulary's normalizer lower-cases, and its pre-tokenizer drops white space and parts
+    letters from other characters, so the ids of a text are those of its pieces in order. Ids of
+    pieces are remembered. Texts with an apostrophe or a character beyond Latin-1 go whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,24 +53,39 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        known = self.known
+    def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text, in order; new pieces of some texts are encoded together."""
+        waiting, size = [], 0
         for text in texts:
-            if ODD_SPACE.search(text):
-                yield self._encode([text])[0]
-                continue
-            words = text.split()
-            new = [w for w in {*words} if w not in known]
-            if new:
-                if len(known) + len(new) > CACHE_WORDS:
-                    known.clear()
-                    new = [*{*words}]
-                known.update(zip(new, self._encode(new), strict=True))
-            yield b"".join([known[w] for w in words])
+            waiting.append(text)
+            size += len(text)
+            if size > BATCH_CHARS:
+                yield from self._ids(waiting)
+                waiting, size = [], 0
+        yield from self._ids(waiting)
+
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        known = self.known
+        split = [PIECE.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
+        found = [None if pieces is None else [*map(known.get, pieces)] for pieces in split]
+        lacking = [k for k, ids in enumerate(found) if ids is not None and None in ids]
+        new = [*{p for k in lacking for p, ids in zip(split[k], found[k], strict=True) if ids is None}]
+        added = dict(zip(new, self._encode(new), strict=True))
+        for k in lacking:
+            found[k] = [ids if ids is not None else added[p] for p, ids in zip(split[k], found[k], strict=True)]
+        if len(known) + len(added) > CACHE_PIECES:
+            known.clear()
+        known.update(added)
+        for text, ids in zip(texts, found, strict=True):
+            yield self._encode([text])[0] if ids is None else b"".join(ids)
+
+
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer for each Python worker, which keeps what it remembers from task to task."""
+    return WordTokenizer(path)
 
 
 def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,7 +98,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        tokenizer = WordTokenizer(vocabulary)
+        tokenizer = tokenizer_of(vocabulary)
         for batch in batches:
             out: list[tuple] = []
             texts = (x.as_py() or "" for x in batch.column(1))

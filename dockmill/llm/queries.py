@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dockmill.llm import exact_dedup
+from dockmill.llm import bpe, exact_dedup, packing
 
-QUERIES = {"op5_exact_dedup": exact_dedup.op5_exact_dedup}
+QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op9_bpe": bpe.op9_bpe,
+}
 ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE_SQL}
