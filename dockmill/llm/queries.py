@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dockmill.llm import bpe, exact_dedup, packing
+from dockmill.llm import bpe, exact_dedup, packing, simhash
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_simhash": simhash.op2_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op9_bpe": bpe.op9_bpe,
 }
