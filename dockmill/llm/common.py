@@ -40,3 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
 def partitions_for(rows: int, per_partition: int) -> int:
     """How many groups of about ``per_partition`` rows hold ``rows`` rows."""
     return max(1, -(-rows // per_partition))
+
+
+def url_host(url: Column) -> Column:
+    """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://`` or for null."""
+    return ascii_lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+
+
+def url_path(url: Column) -> Column:
+    """What follows the host up to ``?``, ``#`` or the end; empty without ``://`` or for null."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dockmill.llm import bpe, exact_dedup, packing, simhash
+from dockmill.llm import bpe, exact_dedup, language, packing, simhash
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_simhash": simhash.op2_simhash,
+    "op3_language_id": language.op3_language_id,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op9_bpe": bpe.op9_bpe,
 }
