@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dockmill.llm import bpe, exact_dedup, language, packing, simhash
+from dockmill.llm import bpe, exact_dedup, language, packing, simhash, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_simhash": simhash.op2_simhash,
     "op3_language_id": language.op3_language_id,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op9_bpe": bpe.op9_bpe,
 }
