@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dockmill.llm import bpe, exact_dedup, language, packing, simhash, url_filter
+from dockmill.llm import bpe, exact_dedup, language, neighbours, packing, simhash, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": language.op3_language_id,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_neighbours": neighbours.op6_neighbours,
     "op9_bpe": bpe.op9_bpe,
 }
 ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE_SQL}
