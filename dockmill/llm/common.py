@@ -50,3 +50,32 @@ def url_host(url: Column) -> Column:
 def url_path(url: Column) -> Column:
     """What follows the host up to ``?``, ``#`` or the end; empty without ``://`` or for null."""
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+
+
+#: Rows of a key and a hash (some 50 bytes each in memory) that may be broadcast; beyond it Spark joins by shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def keep_rows(df: DataFrame, found: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """The rows of ``df`` that ``found`` keeps, with their columns.
+
+    ``found`` has doc_id, key and kept, one row for each row of ``df``, where ``key`` tells rows of
+    one id apart. Of rows with equal id and key one stays if any of them is kept. Whole rows are
+    shuffled only if more than ``BROADCAST_KEYS`` keys go; ids and keys that stay are never joined.
+    """
+    keys = found.groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    odd = cut(keys.where(~F.col("kept") | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("key").alias("__other"), "kept"))
+    sizes = {r.kept: r["count"] for r in odd.groupBy("kept").count().collect()}
+    rows = df.withColumn("__key", key)
+
+    def side(kept: bool) -> tuple[DataFrame, Column]:
+        part = odd.where(F.col("kept") == kept)
+        part = F.broadcast(part) if sizes.get(kept, 0) <= BROADCAST_KEYS else part
+        return part, rows[id_col].eqNullSafe(part["__id"]) & (rows["__key"] == part["__other"])
+
+    if sizes.get(False):
+        rows = rows.join(*side(False), "left_anti")
+    if sizes.get(True):
+        repeated = rows.join(*side(True), "left_semi").dropDuplicates([id_col, "__key"])
+        rows = rows.join(*side(True), "left_anti").unionByName(repeated)
+    return rows.drop("__key")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockmill.llm.common import ascii_lower, cut, table
+from dockmill.llm.common import ascii_lower, cut, keep_rows, table
 
 BLOCK = 1024
 HOT_BLOCKS = 1000
@@ -92,11 +92,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each group of equal texts, all its columns kept."""
-    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    kept = exact_duplicates(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha"))
-    rows = df.withColumn("__sha", sha)
-    same = rows[id_col].eqNullSafe(kept["__id"]) & (rows["__sha"] == kept["__kept_sha"])
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__sha"]).drop("__sha")
+    found = exact_duplicates(df, id_col, text_col).select("doc_id", F.xxhash64("text_sha256").alias("key"), "kept")
+    return keep_rows(df, found, id_col, F.xxhash64(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)))
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

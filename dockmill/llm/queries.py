@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dockmill.llm import bpe, exact_dedup, html_extract, language, neighbours, packing, pii, simhash, url_filter
+from dockmill.llm import bpe, chat, exact_dedup, html_extract, language, neighbours, packing, pii, simhash, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_html_extract": html_extract.op7_html_extract,
     "op8_pii": pii.op8_pii,
     "op9_bpe": bpe.op9_bpe,
+    "op10_chat_format": chat.op10_chat_format,
 }
 ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE_SQL}

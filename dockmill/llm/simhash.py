@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockmill.llm.common import cut, table
+from dockmill.llm.common import cut, keep_rows, table
 from dockmill.llm.components import connected_components
 
 BITS, RADIUS, WORDS = 64, 3, 3
@@ -199,11 +199,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest id, all its columns kept."""
-    found = _components(cut(fingerprints(docs, id_col, text_col, words)), radius)
-    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("kept")).select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_key").alias("__key"))
-    rows = docs.withColumn("__text_key", F.xxhash64(text_col))
-    same = rows[id_col].eqNullSafe(kept["__id"]) & (rows["__text_key"] == kept["__key"])
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__text_key"]).drop("__text_key")
+    found = cut(_components(cut(fingerprints(docs, id_col, text_col, words)), radius))
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    kept = found.join(first, found["component_id"].eqNullSafe(first["component_id"])).select("doc_id", F.col("text_key").alias("key"), (F.struct("doc_id", "text_key") == F.col("first")).alias("kept"))
+    return keep_rows(docs, kept, id_col, F.xxhash64(text_col))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
