@@ -1,4 +1,8 @@
 """Registry of the engine's queries and their DuckDB equivalents."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from dockmill.plans import analytics, retrieval, rows
+
+QUERIES = analytics.QUERIES | rows.QUERIES | retrieval.QUERIES
+ORACLE_SQL = analytics.ORACLE_SQL | rows.ORACLE_SQL | retrieval.ORACLE_SQL
