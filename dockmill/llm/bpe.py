@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockmill.llm.common import table
+from dockmill.llm.common import gaps, table
 
 CACHE_WORDS = 800_000
 CACHE_PAIRS = 500_000
@@ -162,14 +162,12 @@ class BytePairCoder:
         parts = (LATIN_SPLIT if LATIN.fullmatch(text) else SPLIT).findall(text)
         pieces = self.pieces
         found = [*map(pieces.young.get, parts)]
-        if None in found:
-            for k, said in enumerate(found):
-                if said is None:
-                    if (said := pieces.get(parts[k])) is None:
-                        said = ",".join(map(str, self.encode_piece(parts[k].encode("utf-8"))))
-                        if len(parts[k]) < 200:
-                            pieces.put(parts[k], said)
-                    found[k] = said
+        for k in gaps(found):
+            if (said := pieces.get(parts[k])) is None:
+                said = ",".join(map(str, self.encode_piece(parts[k].encode("utf-8"))))
+                if len(parts[k]) < 200:
+                    pieces.put(parts[k], said)
+            found[k] = said
         return found
 
     def encode_text(self, text: str) -> str:
