@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockmill.llm.common import cut, partitions_for, table
+from dockmill.llm.common import cut, gaps, partitions_for, table
 
 CAPACITY = 2048
 SHARD = 16_384
@@ -70,11 +70,11 @@ class WordTokenizer:
         known = self.known
         split = [PIECE.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
         found = [None if pieces is None else [*map(known.get, pieces)] for pieces in split]
-        lacking = [k for k, ids in enumerate(found) if ids is not None and None in ids]
-        new = [*{p for k in lacking for p, ids in zip(split[k], found[k], strict=True) if ids is None}]
+        missing = [(k, j) for k, ids in enumerate(found) if ids is not None for j in gaps(ids)]
+        new = [*{split[k][j] for k, j in missing}]
         added = dict(zip(new, self._encode(new), strict=True))
-        for k in lacking:
-            found[k] = [ids if ids is not None else added[p] for p, ids in zip(split[k], found[k], strict=True)]
+        for k, j in missing:
+            found[k][j] = added[split[k][j]]
         if len(known) + len(added) > CACHE_PIECES:
             known.clear()
         known.update(added)
