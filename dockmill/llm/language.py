@@ -14,7 +14,6 @@ is computed where it is read, and priors are joined to it by host.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -60,7 +59,7 @@ class TextModel:
     def score(self, text: str | None) -> list[float]:
         """Tempered log-likelihood of each language and of none; a text without words has no language."""
         if not text or not text.strip():
-            return [-50.0] * len(self.languages) + [0.0]
+            return [-50.0] * len(self.languages) + [0.0]  # far below any text
         codes = trigram_codes(text)
         return (self.table[codes].mean(0, dtype=np.float64) * (len(codes) / (1 + len(codes) / TEXT_WEIGHT))).tolist()
 
@@ -78,17 +77,37 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     return TextModel({k: v for k, v in texts.items() if v})
 
 
-def _log(p: float) -> float:
-    return float(np.log(p))
+def softmax(scores: np.ndarray) -> np.ndarray:
+    e = np.exp(scores - scores.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
 
 
-def _said(code: Column, languages: list[str], name: str, right: float) -> Column:
-    """Log-probability that evidence says ``code`` when the language is ``name``; nothing if it says none that is known."""
-    wrong = (1 - right) / max(1, len(languages) - 1)
-    known = code.isin(languages)
-    if name == UNKNOWN:
-        return F.when(known, F.lit(_log(1 / max(1, len(languages))))).otherwise(0.0)
-    return F.when(known, F.when(code == name, _log(right)).otherwise(_log(wrong))).otherwise(0.0)
+def _said(codes: pd.Series, languages: list[str], right: float) -> np.ndarray:
+    """Log-probability of what evidence says under each language and under none; zero where it says none that is known."""
+    n, place = len(languages), {name: k for k, name in enumerate(languages)}
+    wrong = np.log((1 - right) / max(1, n - 1))
+    rows = np.full((n + 1, n + 1), wrong)
+    rows[np.arange(n), np.arange(n)] = np.log(right)
+    rows[:, n] = np.log(1 / max(1, n))
+    rows[n] = 0
+    return rows[[place.get(c, n) for c in codes]]
+
+
+def evidence(model: TextModel, texts: pd.Series, declared: pd.Series, address: pd.Series) -> np.ndarray:
+    """Log-scores of each row under each language and under none, without its host."""
+    n = len(model.languages)
+    prior = np.log(np.array([(1 - UNKNOWN_PRIOR) / max(1, n)] * n + [UNKNOWN_PRIOR]))
+    return np.array([model.score(t) for t in texts]).reshape(-1, n + 1) + prior + _said(declared, model.languages, DECLARED_RIGHT) + _said(address, model.languages, ADDRESS_RIGHT)
+
+
+def posterior(scores: np.ndarray, levels: list[np.ndarray], every: np.ndarray) -> np.ndarray:
+    """Shares of the classes, with priors smoothed from all rows down ``levels``; a row's own share is left out of its counts."""
+    own = softmax(scores)
+    prior = np.tile((every + 1) / (every.sum() + len(every)), (len(scores), 1))
+    for counts in levels:
+        rest = np.maximum(counts - own, 0)
+        prior = (rest + STRENGTH * prior) / (rest.sum(1, keepdims=True) + STRENGTH)
+    return softmax(scores + np.log(np.maximum(prior, 1e-9)))
 
 
 def identify(df: DataFrame, model: TextModel, *, text: Column, declared: Column, host: Column, address: Column) -> DataFrame:
@@ -97,62 +116,46 @@ def identify(df: DataFrame, model: TextModel, *, text: Column, declared: Column,
     Null evidence says nothing. A null, empty or blank text is ``und``. Repeated rows get equal
     answers; an empty table stays empty; columns of ``df`` keep their values whatever their names.
     """
-    spark = df.sparkSession
-    languages, classes = model.languages, [*model.languages, UNKNOWN]
-    shared = spark.sparkContext.broadcast(model)
+    classes = [*model.languages, UNKNOWN]
+    width = range(len(classes))
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def score(texts: pd.Series, declared: pd.Series, address: pd.Series) -> pd.Series:
+        return pd.Series([*evidence(shared.value, texts, declared, address)])
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def likelihoods(texts: pd.Series) -> pd.Series:
-        model = shared.value
-        return pd.Series([model.score(t) for t in texts])
+    def share(scores: pd.Series) -> pd.Series:
+        return pd.Series([*softmax(stacked(scores))])
+
+    def stacked(rows: pd.Series) -> np.ndarray:
+        return np.array(rows.to_list(), np.float64).reshape(-1, len(classes))
 
     def code(c: Column) -> Column:
         return F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), "^[A-Za-z]{2,3}", 0))
 
-    rows = df.withColumns({"__text": likelihoods(text), "__declared": code(declared), "__address": code(address), "__host": F.coalesce(host, F.lit(""))})
-    scores = {}
-    for k, name in enumerate(classes):
-        prior = _log(UNKNOWN_PRIOR) if name == UNKNOWN else _log((1 - UNKNOWN_PRIOR) / max(1, len(languages)))
-        scores[f"__s{k}"] = F.col("__text")[k] + _said(F.col("__declared"), languages, name, DECLARED_RIGHT) + _said(F.col("__address"), languages, name, ADDRESS_RIGHT) + F.lit(prior)
-    rows = rows.withColumns(scores)
-    names = [*scores]
-    if len(classes) == 1:
-        return rows.drop("__text", "__declared", "__address", "__host", *names).withColumns({"__language": F.lit(UNKNOWN), "__confidence": F.lit(1.0)})
-
-    def shares(cols: list[Column]) -> list[Column]:
-        top = F.greatest(*cols)
-        total = reduce(lambda a, b: a + b, [F.exp(c - top) for c in cols])
-        return [F.exp(c - top) / total for c in cols]
-
-    own = shares([F.col(n) for n in names])
-    rows = rows.withColumns({f"__p{k}": p for k, p in enumerate(own)})
-    ps = [f"__p{k}" for k in range(len(classes))]
-    hosts = cut(rows.groupBy("__host").agg(*(F.sum(p).alias(f"h{k}") for k, p in enumerate(ps))))
-    hosts = hosts.withColumns({"__domain": F.regexp_extract("__host", r"([^.]*\.)?[^.]*$", 0), "__suffix": F.regexp_extract("__host", r"[^.]*$", 0)})
-
-    def level(key: str, letter: str) -> DataFrame:
-        return hosts.groupBy(key).agg(*(F.sum(f"h{k}").alias(f"{letter}{k}") for k in range(len(ps))))
-
-    everything = hosts.agg(*(F.sum(f"h{k}").alias(f"h{k}") for k in range(len(ps)))).first()
-    every = [everything[k] or 0.0 for k in range(len(ps))]
-    tree = hosts.join(level("__domain", "d"), "__domain").join(level("__suffix", "t"), "__suffix").drop("__domain", "__suffix")
+    rows = df.withColumns({"__score": score(text, code(declared), code(address)), "__host": F.coalesce(host, F.lit(""))})
+    shares = rows.select("__host", share("__score").alias("p"))
+    hosts = cut(shares.groupBy("__host").agg(*(F.sum(F.col("p")[k]).alias(f"p{k}") for k in width)))
+    hosts = hosts.select("__host", F.array(*(f"p{k}" for k in width)).alias("h"), F.regexp_extract("__host", r"([^.]*\.)?[^.]*$", 0).alias("domain"), F.regexp_extract("__host", r"[^.]*$", 0).alias("suffix"))
+
+    def level(key: str, name: str) -> DataFrame:
+        return hosts.groupBy(key).agg(F.array(*(F.sum(F.col("h")[k]) for k in width)).alias(name))
+
+    sums = hosts.agg(*(F.sum(F.col("h")[k]) for k in width)).first()
+    every = np.array([x or 0.0 for x in sums])
+    tree = hosts.join(level("domain", "d"), "domain").join(level("suffix", "t"), "suffix").select("__host", F.struct("t", "d", "h").alias("__levels"))
     if hosts.count() <= BROADCAST_HOSTS:
         tree = F.broadcast(tree)
-    rows = rows.join(tree, "__host")
-    # each level: its counts without the row's own share, and STRENGTH times the level above
-    log_prior = [F.lit((n + 1.0) / (sum(every) + len(ps))) for n in every]
-    for letter in "tdh":
-        counts = [F.greatest(F.col(f"{letter}{k}") - F.col(p), F.lit(0.0)) for k, p in enumerate(ps)]
-        total = reduce(lambda a, b: a + b, counts)
-        log_prior = [(c + STRENGTH * q) / (total + STRENGTH) for c, q in zip(counts, log_prior, strict=True)]
-        rows = rows.withColumns({f"__q{k}": q for k, q in enumerate(log_prior)})
-        log_prior = [F.col(f"__q{k}") for k in range(len(ps))]
-    final = shares([F.col(n) + F.log(F.greatest(q, F.lit(1e-9))) for n, q in zip(names, log_prior, strict=True)])
-    rows = rows.withColumns({f"__p{k}": p for k, p in enumerate(final)})
-    best = F.greatest(*ps)
-    language = reduce(lambda rest, k: F.when(F.col(ps[k]) == best, classes[k]).otherwise(rest), reversed(range(len(ps))), F.lit(UNKNOWN))
-    kept = [*df.columns, "__language", "__confidence"]
-    return rows.withColumns({"__language": language, "__confidence": best}).select(*(F.col(f"`{c}`") for c in kept))
+
+    @F.pandas_udf("language string, confidence double")
+    def decide(scores: pd.Series, levels: pd.DataFrame) -> pd.DataFrame:
+        p = posterior(stacked(scores), [stacked(levels[c]) for c in "tdh"], every)
+        best = p.argmax(1)
+        return pd.DataFrame({"language": [classes[k] for k in best], "confidence": p[np.arange(len(p)), best]})
+
+    found = rows.join(tree, "__host").withColumn("__found", decide("__score", "__levels"))
+    return found.select(*(F.col(f"`{c}`") for c in df.columns), F.col("__found.language").alias("__language"), F.col("__found.confidence").alias("__confidence"))
 
 
 def accepted() -> Column:
