@@ -21,9 +21,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockmill.llm.common import gaps, table
+from dockmill.llm.common import gaps, small_batches, table
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 CACHE_PAIRS = 500_000
 #: Unicode's White_Space; the regex module's own class has four controls more.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -220,7 +220,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 rows.append(row + ((ids.tolist(), decoded) if with_ids else ()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
 
 
 def default_vocabulary() -> str:

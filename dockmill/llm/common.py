@@ -91,3 +91,16 @@ def gaps(values: list) -> Iterator[int]:
             yield k
     except ValueError:
         return
+
+
+#: Rows of whole texts that go to a Python worker at once. Spark's own number is meant for short rows.
+TEXT_ROWS = 500
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with this session's Arrow batches held to ``TEXT_ROWS`` rows, so that a worker's memory stays bounded."""
+    conf = df.sparkSession.conf
+    if int(conf.get(ARROW_ROWS)) > TEXT_ROWS:
+        conf.set(ARROW_ROWS, str(TEXT_ROWS))
+    return df

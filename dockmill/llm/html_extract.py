@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockmill.llm.common import table
+from dockmill.llm.common import small_batches, table
 from dockmill.llm.html_blocks import leaf_blocks
 
 PATHS, WORDS, PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 4096, 2048, 16, 6, 6, 16
@@ -348,7 +348,7 @@ def extract_text(pages: DataFrame, model: BlockLabeller | None = None, id_col: s
                 texts += ["\n".join(t for (_, t, _), p in zip(b, said, strict=True) if p >= 0.5) for b, said in zip(blocks, model.predict(blocks), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

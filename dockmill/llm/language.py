@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dockmill.llm.common import cut, table, url_host, url_path
+from dockmill.llm.common import cut, small_batches, table, url_host, url_path
 
 SAMPLE = 300  # labelled rows of each language that fit the text model
 MIN_LABELLED = 5  # a language with fewer labelled rows has no model
@@ -134,7 +134,7 @@ def identify(df: DataFrame, model: TextModel, *, text: Column, declared: Column,
     def code(c: Column) -> Column:
         return F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), "^[A-Za-z]{2,3}", 0))
 
-    rows = df.withColumns({"__score": score(text, code(declared), code(address)), "__host": F.coalesce(host, F.lit(""))})
+    rows = small_batches(df).withColumns({"__score": score(text, code(declared), code(address)), "__host": F.coalesce(host, F.lit(""))})
     shares = rows.select("__host", share("__score").alias("p"))
     hosts = cut(shares.groupBy("__host").agg(*(F.sum(F.col("p")[k]).alias(f"p{k}") for k in width)))
     hosts = hosts.select("__host", F.array(*(f"p{k}" for k in width)).alias("h"), F.regexp_extract("__host", r"([^.]*\.)?[^.]*$", 0).alias("domain"), F.regexp_extract("__host", r"[^.]*$", 0).alias("suffix"))

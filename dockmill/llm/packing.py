@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockmill.llm.common import cut, gaps, partitions_for, table
+from dockmill.llm.common import cut, gaps, partitions_for, small_batches, table
 
 CAPACITY = 2048
 SHARD = 16_384
-CACHE_PIECES = 800_000
+CACHE_PIECES = 600_000
 BATCH_CHARS = 2_000_000
 #: Texts that ``PIECE`` splits as the pre-tokenizer does, once lower-cased.
 PLAIN = re.compile("[\t-\r -&(-~\xa0-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]*")
@@ -109,7 +109,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 5, schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 class Bins:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockmill.llm.common import table
+from dockmill.llm.common import small_batches, table
 from dockmill.llm.crf import ChainModel
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -230,7 +230,7 @@ def find_personal_data(docs: DataFrame, model: ChainModel | None = None, id_col:
                     rows.append((*row, masked(text, every)) if with_text else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in ddl.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
 
 
 def mask_documents(docs: DataFrame, model: ChainModel | None = None, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
@@ -248,7 +248,7 @@ def mask_documents(docs: DataFrame, model: ChainModel | None = None, text_col: s
         found = find_spans(said, shared.value)
         return pd.Series([None if t is None else masked(s, every) for t, s, (_, every) in zip(texts, said, found, strict=True)], dtype=object)
 
-    out = docs.withColumn(text_col, mask(F.col(text_col)))
+    out = small_batches(docs).withColumn(text_col, mask(F.col(text_col)))
     return out.withColumn(size_col, F.length(text_col).cast(dict(docs.dtypes)[size_col])) if size_col in docs.columns else out
 
 
