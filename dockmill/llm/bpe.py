@@ -21,9 +21,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockmill.llm.common import gaps, small_batches, table
+from dockmill.llm.common import Remembered, gaps, small_batches, table
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 CACHE_PAIRS = 500_000
 #: Unicode's White_Space; the regex module's own class has four controls more.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -42,23 +42,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Remembered:
-    """A bounded cache of two generations: what was not asked for since the last change goes."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most // 2, {}, {}
-
-    def get(self, key: str):
-        if (value := self.young.get(key)) is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
-
-    def put(self, key: str, value) -> None:
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
-
 class BytePairCoder:
     """Encoder and decoder of one vocabulary file."""
 

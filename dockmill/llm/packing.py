@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockmill.llm.common import cut, gaps, partitions_for, small_batches, table
+from dockmill.llm.common import Remembered, cut, gaps, partitions_for, small_batches, table
 
 CAPACITY = 2048
 SHARD = 16_384
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 BATCH_CHARS = 2_000_000
 #: Texts that ``PIECE`` splits as the pre-tokenizer does, once lower-cased.
 PLAIN = re.compile("[\t-\r -&(-~\xa0-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]*")
@@ -50,7 +50,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(CACHE_PIECES)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -67,17 +67,21 @@ class WordTokenizer:
         yield from self._ids(waiting)
 
     def _ids(self, texts: list[str]) -> Iterator[bytes]:
-        known = self.known
+        known, missing, new = self.known, [], set()
         split = [PIECE.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        found = [None if pieces is None else [*map(known.get, pieces)] for pieces in split]
-        missing = [(k, j) for k, ids in enumerate(found) if ids is not None for j in gaps(ids)]
-        new = [*{split[k][j] for k, j in missing}]
-        added = dict(zip(new, self._encode(new), strict=True))
-        for k, j in missing:
-            found[k][j] = added[split[k][j]]
-        if len(known) + len(added) > CACHE_PIECES:
-            known.clear()
-        known.update(added)
+        found = [None if pieces is None else [*map(known.young.get, pieces)] for pieces in split]
+        for ids, pieces in zip(found, split, strict=True):
+            for j in gaps(ids or []):
+                if (had := known.get(pieces[j])) is None:
+                    new.add(pieces[j])
+                    missing.append((ids, j, pieces[j]))
+                else:
+                    ids[j] = had
+        added = dict(zip(new, self._encode([*new]), strict=True))
+        for ids, j, piece in missing:
+            ids[j] = added[piece]
+        for piece, ids in added.items():
+            known.put(piece, ids)
         for text, ids in zip(texts, found, strict=True):
             yield self._encode([text])[0] if ids is None else b"".join(ids)
 
