@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dockmill.llm.bpe import byte_alphabet
 from dockmill.llm.common import Remembered, cut, gaps, partitions_for, small_batches, table
 
 CAPACITY = 2048
@@ -50,11 +51,19 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        stand_in = {b: c for c, b in byte_alphabet().items()}
+        self.spelled = {k: "".join(stand_in[b] for b in chr(k).encode()) for k in range(128, 256)}
         self.known = Remembered(CACHE_PIECES)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of lower-case pieces. Letters are one pre-token, so the bare model has them, spelled as bytes."""
+        other = iter(self._encode([p for p in pieces if not p.isalpha()]))
+        return [array("I", [t.id for t in self.model.tokenize(p if p.isascii() else p.translate(self.spelled))]).tobytes() if p.isalpha() else next(other) for p in pieces]
+
     def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text, in order; new pieces of some texts are encoded together."""
         waiting, size = [], 0
@@ -77,7 +86,8 @@ class WordTokenizer:
                     missing.append((ids, j, pieces[j]))
                 else:
                     ids[j] = had
-        added = dict(zip(new, self._encode([*new]), strict=True))
+        order = [*new]
+        added = dict(zip(order, self._pieces(order), strict=True))
         for ids, j, piece in missing:
             ids[j] = added[piece]
         for piece, ids in added.items():
