@@ -91,24 +91,31 @@ def path(back: list[list[int]], end: int) -> list[int]:
     return out[::-1]
 
 
-def summary(roles: list[int]) -> list[list[tuple[int, int, int]]]:
-    """By state before and after a stretch: its least cost, and the turns and rows that the best way writes."""
-    table = []
+def summary(roles: list[int]) -> list[list[tuple[int, int, int, int]]]:
+    """By state before and after a stretch: its least cost, the turns and rows that the best way writes, and a rank.
+
+    Of ways of equal cost the one with the smaller last states is taken, as ``run`` does turn by
+    turn; the rank orders the states before by it.
+    """
+    table, ways = [], []
     for entry in STATES:
         cost, back = run(roles, entry)
-        row = []
+        row, ends = [], []
         for end in STATES:
             turns = rows = 0
+            states = path(back, end)
+            ends.append([*states[::-1][1:], entry])
             if cost[end] < FOREVER:
                 before = entry
-                for own, after in zip(roles, path(back, end), strict=True):
+                for own, after in zip(roles, states, strict=True):
                     _, action, inserted = MOVES[own][before][after]
                     turns += (action != MERGED) + (inserted > 0)
                     rows += 1 + (inserted > 0)
                     before = after
             row.append((cost[end], turns, rows))
         table.append(row)
-    return table
+        ways.append(ends)
+    return [[(*table[p][q], sorted(STATES, key=lambda x: ways[x][q]).index(p)) for q in STATES] for p in STATES]  # noqa: B023
 
 
 def best_end(cost: list[int]) -> int:
@@ -184,10 +191,10 @@ def chain(edges: list) -> dict[tuple[int, int], tuple[int, int, int, int, bool]]
     for group in groups:
         if len(group) < 2:
             continue
-        tables = [[[tuple(e.figures[(p * 4 + q) * 3 : (p * 4 + q) * 3 + 3]) for q in STATES] for p in STATES] for e in group]
+        tables = [[[tuple(e.figures[(p * 4 + q) * 4 : (p * 4 + q) * 4 + 4]) for q in STATES] for p in STATES] for e in group]
         cost, back = [0, FOREVER, FOREVER, FOREVER], []
         for t in tables:
-            came = [min(STATES, key=lambda p: (cost[p] + t[p][q][0], p)) for q in STATES]  # noqa: B023
+            came = [min(STATES, key=lambda p: (cost[p] + t[p][q][0], t[p][q][3])) for q in STATES]  # noqa: B023
             cost = [min(FOREVER, cost[came[q]] + t[came[q]][q][0]) for q in STATES]
             back.append(came)
         states = path(back, best_end(cost))
