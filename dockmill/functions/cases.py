@@ -49,7 +49,7 @@ def court_type(has_tribunal: Column, has_court: Column) -> Column:
 
 def split_list(c: Column, pattern: str = "[;,]") -> Column:
     """Trimmed non-empty parts, in order, each once."""
-    return F.array_distinct(F.filter(F.transform(F.split(text(c), pattern), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text(c), pattern), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def split_concepts(c: Column, known: dict[str, str] | None = None) -> Column:
