@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences, improved by swap-based local search.
 
 Documents become pieces of at most ``capacity`` tokens where they are tokenised, and only piece
-lengths are shuffled. Pieces are dealt by hash to shards of about ``SHARD`` pieces. A shard is
-packed best-fit, then a local search moves a document, exchanges one for one or two for one
+lengths are shuffled. Pieces are dealt by the hash of a row number to shards of about ``SHARD``
+pieces, so copies spread like any other rows. A shard is packed best-fit, then a local search moves a document, exchanges one for one or two for one
 between underfull bins whenever that raises the squared fill, until bins run empty. A second
 round gathers the bins that stay open in many shards and packs their pieces together, so what is
 lost in the end is below one sequence for each ``SHARD`` open pieces.
@@ -28,6 +28,8 @@ from dockmill.llm.common import Remembered, cut, gaps, partitions_for, small_bat
 
 CAPACITY = 2048
 SHARD = 16_384
+#: Sequence ids from one shard to the next, more than any group that fits in memory has bins.
+STRIDE = 1 << 32
 CACHE_PIECES = 300_000
 BATCH_CHARS = 2_000_000
 #: Texts that ``PIECE`` splits as the pre-tokenizer does, once lower-cased.
@@ -225,28 +227,28 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[
     return bin_of, offset, room
 
 
-def _packed(pieces: DataFrame, shard, base: int, capacity: int) -> DataFrame:
+def _packed(pieces: DataFrame, shards: int, base: int, capacity: int) -> DataFrame:
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece", "start", "ids_crc32"], kind="stable")
         bin_of, offset, room = pack(rows["length"].tolist(), capacity)
-        return rows.assign(sequence_id=[base + key[0] * SHARD * 4 + b for b in bin_of], offset=offset, room=room)
+        return rows.assign(sequence_id=[base + key[0] * STRIDE + b for b in bin_of], offset=offset, room=room)
 
-    out = PIECES + ", shard long, sequence_id long, offset long, room long"
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(run, out)
+    out = PIECES + ", row long, shard long, sequence_id long, offset long, room long"
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).groupBy("shard").applyInPandas(run, out)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset; every sequence is gapless from 0 and within ``capacity``."""
-    pieces = cut(pieces)
+    pieces = cut(pieces.withColumn("row", F.monotonically_increasing_id()))
     shards = partitions_for(pieces.count(), SHARD)
-    first = _packed(pieces, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)), 0, capacity)
+    first = _packed(pieces, shards, 0, capacity)
     if shards == 1:
-        return first.drop("shard", "room")
+        return first.drop("row", "shard", "room")
     first = cut(first)
     is_open = F.col("room") >= capacity // 32
     n_open = first.where(is_open).count()
-    second = _packed(first.where(is_open).drop("sequence_id", "offset", "room", "shard"), F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(partitions_for(n_open, SHARD))), 1 << 60, capacity)
-    return first.where(~is_open).unionByName(second).drop("shard", "room")
+    second = _packed(first.where(is_open).drop("sequence_id", "offset", "room", "shard"), partitions_for(n_open, SHARD), 1 << 60, capacity)
+    return first.where(~is_open).unionByName(second).drop("row", "shard", "room")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
