@@ -4,10 +4,12 @@ For every row and language the log-probabilities of these are added: the whole t
 of hashed byte trigrams; the language its markup declares; the language code in its address; and
 its host's prior. Host priors are smoothed down a hierarchy (all rows, address suffix, domain,
 host) whose counts are grouped sums of what the first three say of each row, without the row's own
-share. One more class, ``und``, stands for text of no language.
+share. One more class, ``und``, stands for text of no modelled language; such a text keeps the
+language that its markup or address declares.
 
-The text model is fitted on at most ``SAMPLE`` labelled rows of each language, those with the
-smallest hashes; all other statistics cover every row. Texts are never shuffled: a row's evidence
+Every labelled language has a model. It is fitted on at most ``SAMPLE`` distinct texts of each
+language, those with the smallest hashes, whose trigrams Spark counts; all other statistics cover
+every row. Texts are never shuffled: a row's evidence
 is computed where it is read, and priors are joined to it by host.
 """
 
@@ -17,15 +19,14 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dockmill.llm.common import cut, small_batches, table, url_host, url_path
 
-SAMPLE = 300  # labelled rows of each language that fit the text model
-MIN_LABELLED = 5  # a language with fewer labelled rows has no model
-MOST_LANGUAGES = 64
+SAMPLE = 300  # distinct labelled texts of each language that fit the text model
 BUCKETS = 1 << 16
 DIGITS = re.compile(rb"[^\x20\x09-\x0d]*[0-9][^\x20\x09-\x0d]*")
 UNKNOWN = "und"
@@ -46,15 +47,22 @@ class TextModel:
     """Log-probabilities of trigram buckets by language, the last column for no language."""
 
     def __init__(self, texts: dict[str, list[str]]):
-        self.languages = sorted(texts)
-        columns = []
-        for name in self.languages:
-            counts = np.full(BUCKETS, 0.02)
-            for t in texts[name]:
-                counts += np.bincount(trigram_codes(t), minlength=BUCKETS)
-            columns.append(np.log(counts / counts.sum()))
-        columns.append(np.full(BUCKETS, -np.log(BUCKETS)))
-        self.table = np.stack(columns, 1).astype(np.float32)
+        self._fill({name: sum((np.bincount(trigram_codes(t), minlength=BUCKETS) for t in texts[name]), np.zeros(BUCKETS)) for name in texts})
+
+    @classmethod
+    def from_counts(cls, counts: dict[str, np.ndarray]) -> TextModel:
+        """A model from how often each bucket occurs in each language."""
+        model = cls.__new__(cls)
+        model._fill(counts)
+        return model
+
+    def _fill(self, counts: dict[str, np.ndarray]) -> None:
+        self.languages = sorted(counts)
+        self.table = np.empty((BUCKETS, len(self.languages) + 1), np.float32)
+        for k, name in enumerate(self.languages):
+            smooth = counts[name] + 0.02
+            self.table[:, k] = np.log(smooth / smooth.sum())
+        self.table[:, -1] = -np.log(BUCKETS)
 
     def score(self, text: str | None) -> list[float]:
         """Tempered log-likelihood of each language and of none; a text without words has no language."""
@@ -64,33 +72,52 @@ class TextModel:
         return (self.table[codes].mean(0, dtype=np.float64) * (len(codes) / (1 + len(codes) / TEXT_WEIGHT))).tolist()
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """A text model from at most ``sample`` rows of each label; null or empty labels are no labels."""
-    lang = F.lower(F.regexp_extract(F.coalesce(F.col(lang_col), F.lit("")), "^[A-Za-z]{2,3}", 0))
-    rows = labelled.select(lang.alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).where("lang <> '' and trim(text) <> ''")
-    sizes = rows.groupBy("lang").count().where(F.col("count") >= MIN_LABELLED).orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    texts: dict[str, list[str]] = {}
-    for r in sizes:  # a bounded number of languages; each keeps a bounded number of texts
-        share = min(1.0, 4 * sample / r["count"])
-        drawn = rows.where((F.col("lang") == r["lang"]) & (F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-        texts[r["lang"]] = [x.text for x in drawn.orderBy("h").limit(sample).select("text").collect()]
-    return TextModel({k: v for k, v in texts.items() if v})
+def _language(c: Column) -> Column:
+    """The lower-case language code that a tag starts with, or an empty string."""
+    return F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), "^[A-Za-z]{2,3}", 0))
 
 
-def softmax(scores: np.ndarray) -> np.ndarray:
-    e = np.exp(scores - scores.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> TextModel:
+    """A text model of every label, from at most ``sample`` distinct texts of each; null or empty labels are no labels."""
+    rows = small_batches(labelled).select(_language(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).where("lang <> '' and trim(text) <> ''")
+    place = Window.partitionBy("lang").orderBy("h")  # each task keeps its own first ``sample`` rows before they are dealt
+    drawn = rows.select("lang", "h").distinct().withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample)
+    drawn = F.broadcast(cut(drawn.select("lang", "h")))  # a bounded number of hashes for each language
+    texts = rows.join(drawn, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
+
+    def count(batches):
+        for batch in batches:
+            by: dict[str, np.ndarray] = {}
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                codes = np.bincount(trigram_codes(text), minlength=BUCKETS)
+                by[name] = by[name] + codes if name in by else codes
+            for name, n in by.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
+
+    sums = texts.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = cut(sums.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("n")))  # at most ``BUCKETS`` numbers
+    counts = {}
+    for r in sums.toLocalIterator():
+        counts[r.lang] = np.zeros(BUCKETS)
+        counts[r.lang][r.buckets] = r.n
+    return TextModel.from_counts(counts)
 
 
 def _said(codes: pd.Series, languages: list[str], right: float) -> np.ndarray:
-    """Log-probability of what evidence says under each language and under none; zero where it says none that is known."""
+    """Log-probability of what evidence says under each language and under none; zero where it says nothing.
+
+    A code that no model has speaks for a language beyond the modelled ones.
+    """
     n, place = len(languages), {name: k for k, name in enumerate(languages)}
     wrong = np.log((1 - right) / max(1, n - 1))
-    rows = np.full((n + 1, n + 1), wrong)
+    rows = np.full((n + 2, n + 1), wrong)
     rows[np.arange(n), np.arange(n)] = np.log(right)
     rows[:, n] = np.log(1 / max(1, n))
     rows[n] = 0
-    return rows[[place.get(c, n) for c in codes]]
+    rows[n + 1] = np.log((1 - right) / max(1, n))
+    rows[n + 1, n] = np.log(right)
+    return rows[[place.get(c, n + 1 if c else n) for c in codes]]
 
 
 def evidence(model: TextModel, texts: pd.Series, declared: pd.Series, address: pd.Series) -> np.ndarray:
@@ -100,6 +127,11 @@ def evidence(model: TextModel, texts: pd.Series, declared: pd.Series, address: p
     return np.array([model.score(t) for t in texts]).reshape(-1, n + 1) + prior + _said(declared, model.languages, DECLARED_RIGHT) + _said(address, model.languages, ADDRESS_RIGHT)
 
 
+def softmax(scores: np.ndarray) -> np.ndarray:
+    e = np.exp(scores - scores.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
 def posterior(scores: np.ndarray, levels: list[np.ndarray], every: np.ndarray) -> np.ndarray:
     """Shares of the classes, with priors smoothed from all rows down ``levels``; a row's own share is left out of its counts."""
     own = softmax(scores)
@@ -113,7 +145,8 @@ def posterior(scores: np.ndarray, levels: list[np.ndarray], every: np.ndarray) -
 def identify(df: DataFrame, model: TextModel, *, text: Column, declared: Column, host: Column, address: Column) -> DataFrame:
     """``df`` with ``__language`` and ``__confidence``, one row per input row.
 
-    Null evidence says nothing. A null, empty or blank text is ``und``. Repeated rows get equal
+    Null evidence says nothing. A null, empty or blank text is ``und``. A text of no modelled
+    language has the language that its markup, or else its address, declares. Repeated rows get equal
     answers; an empty table stays empty; columns of ``df`` keep their values whatever their names.
     """
     classes = [*model.languages, UNKNOWN]
@@ -131,10 +164,10 @@ def identify(df: DataFrame, model: TextModel, *, text: Column, declared: Column,
     def stacked(rows: pd.Series) -> np.ndarray:
         return np.array(rows.to_list(), np.float64).reshape(-1, len(classes))
 
-    def code(c: Column) -> Column:
-        return F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), "^[A-Za-z]{2,3}", 0))
-
-    rows = small_batches(df).withColumns({"__score": score(text, code(declared), code(address)), "__host": F.coalesce(host, F.lit(""))})
+    said = [F.when((c != "") & ~c.isin(model.languages) & (c != UNKNOWN), c) for c in (_language(declared), _language(address))]
+    other = F.when(F.coalesce(text, F.lit("")).rlike(r"\S"), F.coalesce(*said))
+    scores = score(text, _language(declared), _language(address))
+    rows = small_batches(df).withColumns({"__score": scores, "__host": F.coalesce(host, F.lit("")), "__other": other})
     shares = rows.select("__host", share("__score").alias("p"))
     hosts = cut(shares.groupBy("__host").agg(*(F.sum(F.col("p")[k]).alias(f"p{k}") for k in width)))
     hosts = hosts.select("__host", F.array(*(f"p{k}" for k in width)).alias("h"), F.regexp_extract("__host", r"([^.]*\.)?[^.]*$", 0).alias("domain"), F.regexp_extract("__host", r"[^.]*$", 0).alias("suffix"))
@@ -155,7 +188,8 @@ def identify(df: DataFrame, model: TextModel, *, text: Column, declared: Column,
         return pd.DataFrame({"language": [classes[k] for k in best], "confidence": p[np.arange(len(p)), best]})
 
     found = rows.join(tree, "__host").withColumn("__found", decide("__score", "__levels"))
-    return found.select(*(F.col(f"`{c}`") for c in df.columns), F.col("__found.language").alias("__language"), F.col("__found.confidence").alias("__confidence"))
+    language = F.when(F.col("__found.language") == UNKNOWN, F.coalesce("__other", F.lit(UNKNOWN))).otherwise(F.col("__found.language"))
+    return found.select(*(F.col(f"`{c}`") for c in df.columns), language.alias("__language"), F.col("__found.confidence").alias("__confidence"))
 
 
 def accepted() -> Column:
@@ -166,9 +200,13 @@ def accepted() -> Column:
 def keep_known_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", host_col: str = "source") -> DataFrame:
     """The rows of ``docs`` whose text has a language, all their columns kept.
 
-    A declared language that the text contradicts is no reason to reject a row.
+    A declared language that the text contradicts is no reason to reject a row. Without any
+    labelled text nothing tells languages apart, and every text with a letter is kept.
     """
-    found = identify(docs, fit(docs, text_col, lang_col), text=F.col(text_col), declared=F.col(lang_col), host=F.col(host_col), address=F.lit(None).cast("string"))
+    model = fit(docs, text_col, lang_col)
+    if not model.languages:
+        return docs.where(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
+    found = identify(docs, model, text=F.col(text_col), declared=F.col(lang_col), host=F.col(host_col), address=F.lit(None).cast("string"))
     return found.where(accepted()).select(*docs.columns)
 
 
