@@ -74,3 +74,46 @@ def retrieval_metrics(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "label")
     relevant = v.where(ASKED).select(F.col("vec_id").alias("query"), "label").join(v, "label").where("query <> vec_id").select("query", F.col("vec_id").alias("doc"))
     return s.retrieval_measures(knn(spark, d, 10), relevant, 10)
+
+
+EVERY = "vec_id % 20 = 0"  # searches that grow with the table
+KNN_EVERY_SQL = KNN_SQL.replace("q.vec_id < 20", "q.vec_id % 20 = 0")
+BM25_EVERY_SQL = BM25_SQL.replace("FROM benchmark", "FROM (SELECT doc_id AS item_id, text FROM documents WHERE doc_id % 20 = 0)")
+#: The semantic list of rows and the lexical list of the documents of the same ids, without the row that asks.
+LISTS_SQL = f"""WITH {KNN_EVERY_SQL}, {BM25_EVERY_SQL}, a AS (SELECT query, doc, rank FROM knn WHERE rank <= 30),
+b AS (SELECT * FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm WHERE query <> doc) WHERE rank <= 30)"""
+
+
+def knn_every(spark, d, k):
+    vectors = table(spark, d, "embeddings")
+    return s.exact_neighbours(vectors, vectors.where(EVERY), k)
+
+
+def lexical_every(spark, d, k):
+    docs = table(spark, d, "documents")
+    found = s.bm25(docs, docs.where("doc_id % 20 = 0"), k + 1, id_col="doc_id", text_col="text", query_id="doc_id", query_text="text")
+    return s.ranked(found.where("query <> doc").drop("rank"), k)
+
+
+@query(f"WITH {KNN_EVERY_SQL} SELECT query, doc, score, CAST(rank AS INTEGER) AS rank FROM knn WHERE rank <= 10")
+def knn_cosine_every(spark, d):
+    return knn_every(spark, d, 10)
+
+
+@query(f"""{LISTS_SQL}, f AS (SELECT query, doc, round(coalesce(0.65 / (60 + a.rank), 0) + coalesce(0.35 / (60 + b.rank), 0), 8) AS score FROM a FULL JOIN b USING (query, doc)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM f) SELECT query, doc, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+def hybrid_full_outer(spark, d):
+    return s.fuse_two(knn_every(spark, d, 30), lexical_every(spark, d, 30), 10)
+
+
+@query(f"""{LISTS_SQL}, f AS (SELECT query, doc, round(sum(x), 8) AS score FROM (SELECT query, doc, CAST(0.5 AS DOUBLE) / (60 + rank) AS x FROM a UNION ALL SELECT query, doc, CAST(0.5 AS DOUBLE) / (60 + rank) FROM b) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM f) SELECT query, doc, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+def hybrid_fusion(spark, d):
+    return s.fuse([(knn_every(spark, d, 30), 0.5), (lexical_every(spark, d, 30), 0.5)], 10)
+
+
+@query(ORACLE_SQL["retrieval_metrics"].replace("q.vec_id < 20", "q.vec_id % 20 = 0"))
+def retrieval_metrics_every(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", "label")
+    relevant = v.where(EVERY).select(F.col("vec_id").alias("query"), "label").join(v, "label").where("query <> vec_id").select("query", F.col("vec_id").alias("doc"))
+    return s.retrieval_measures(knn_every(spark, d, 10), relevant, 10)
