@@ -7,7 +7,10 @@ import re
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|svg|iframe|object|canvas|noscript)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    # an image or fallback without text is a space in its line; one with text is judged as a block
+    r"|<(?P<mute>svg)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*?/>"
+    r"|<(?P<empty>svg|object|canvas|noscript|template)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>(?:\s|<!--(?:[^-]|-(?!->))*+-->|<(?!/?(?:svg|object|canvas|noscript|template|script|style|iframe)\b)[a-zA-Z/](?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>)*+</(?P=empty)\s*>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>"
     r"|<[!?/][^>]*>"
@@ -51,7 +54,7 @@ def leaf_blocks(page: str) -> list[tuple[list[str], str, float]]:
         at = m.end()
         name = m["name"] or m["name2"]
         if not name:
-            if m["raw"]:
+            if m["raw"] or m["mute"] or m["empty"]:
                 parts.append(" ")
             continue
         name = name.lower()
