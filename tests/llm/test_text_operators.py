@@ -185,7 +185,7 @@ def test_language_evidence(spark, odd, none):
 def test_html_on_pages(spark):
     import re
 
-    model = html_extract.BlockLabeller.train()
+    model = html_extract.trained()
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r, page in zip(html_extract.extract_text(pages, model).orderBy("page_id").collect(), pages.orderBy("page_id").collect(), strict=True):
         body = re.search(r"<article>(.*?)(</article>|\Z)", page.html, re.S)[1]
