@@ -54,7 +54,7 @@ def split_list(c: Column, pattern: str = "[;,]") -> Column:
 
 def split_concepts(c: Column, known: dict[str, str] | None = None) -> Column:
     """Canonical concepts of a delimited text, in order, each once; unknown ones are dropped."""
-    forms = literal_map(known if known is not None else v.concept_map())
+    forms = literal_map(known if known is not None else v.CONCEPTS)
     named = F.transform(F.split(text(c), "[;,]"), lambda x: forms[F.lower(F.regexp_replace(F.trim(x), "[.,;:]+$", ""))])
     return F.array_distinct(F.array_compact(named))
 
@@ -65,7 +65,7 @@ def clean_subclass(c: Column) -> Column:
 
 
 def family(c: Column, families: dict[str, str] | None = None) -> Column:
-    return F.coalesce(literal_map(families if families is not None else v.family_map())[clean_subclass(c)], F.lit(v.OTHER))
+    return F.coalesce(literal_map(families if families is not None else v.FAMILIES)[clean_subclass(c)], F.lit(v.OTHER))
 
 
 def case_id(citation: Column, url: Column, title: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dockmill.functions import cases as c
 from dockmill.functions import names
-from dockmill.functions.vocabulary import concept_map, family_map
+from dockmill.functions.vocabulary import CONCEPTS, FAMILIES
 from dockmill.operators import rows as r
 from dockmill.sources import cases as s
 from dockmill.streaming.events import EVENTS, ingest_once, read_events, windowed_counts
@@ -29,7 +29,7 @@ def test_concepts_and_subclasses(spark):
     assert values(spark, c.split_concepts, ["Refugee; asylum, S.36.; noise", None]) == [["Refugee Status", "Protection Obligations"], []]
     assert values(spark, c.clean_subclass, ["866.0", " 50 ", "nan", "12345", None]) == ["866", "50", "", "", ""]
     assert values(spark, c.family, ["408", "866.0", "999"]) == ["Visitor", "Protection", "Other"]
-    assert len({*concept_map().values()}) == 30 and len({*family_map().values()}) == 9
+    assert len({*CONCEPTS.values()}) == 30 and len({*FAMILIES.values()}) == 9
 
 
 def test_dates_and_keys(spark):
