@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from dockmill.llm import chat, neighbours, url_filter
@@ -61,14 +62,36 @@ def test_neighbours_recall(spark):
     assert len(got & want) >= 0.95 * len(want)
 
 
-def test_graph_recall_in_a_larger_shard():
+def full_shard(kind):
     rng = np.random.default_rng(2)
-    centres = rng.standard_normal((20, 32))
-    v = (centres[rng.integers(0, 20, 6000)] + 0.7 * rng.standard_normal((6000, 32))).astype(np.float32)
-    g = neighbours.Graph.build(v, np.arange(6000), np.arange(6000), 21, 0)
-    place, ids, _ = g.nearest(v[:200], np.arange(200), 20)
-    want = {(q, i) for q, _, i in brute_nearest([*enumerate(v)], [*enumerate(v[:200])], 20)}
-    assert len({*zip(place.tolist(), ids.tolist(), strict=True)} & want) >= 0.9 * len(want)
+    noise = rng.standard_normal((neighbours.SHARD, 64))
+    return (noise if kind == "unstructured" else rng.standard_normal((50, 64))[rng.integers(0, 50, len(noise))] + 0.5 * noise).astype(np.float32)
+
+
+@pytest.mark.parametrize(("kind", "beam"), [("unstructured", 512), ("clustered", 64)])
+def test_graph_recall_in_a_full_shard(kind, beam):
+    v = full_shard(kind)
+    g = neighbours.Graph.build(v, [np.array([[k, k]]) for k in range(len(v))], np.arange(len(v)), 0)
+    place, ids, _ = g.nearest(v[:200], np.arange(200), 20, beam)
+    said = v[:200].astype(np.float64) @ v.T.astype(np.float64)
+    said[np.arange(200), np.arange(200)] = -np.inf
+    want = {(q, i) for q, own in enumerate(np.argsort(-said, 1)[:, :20].tolist()) for i in own}
+    assert len({*zip(place.tolist(), ids.tolist(), strict=True)} & want) >= 0.95 * len(want)
+
+
+@pytest.mark.parametrize("kind", ["unstructured", "clustered"])
+def test_cells_and_beam_are_widened_until_recall_holds(spark, monkeypatch, kind):
+    v = full_shard(kind)[:5000]
+    monkeypatch.setattr(neighbours, "SHARD", 600)
+    v[1000:2500] = v[1000]  # a third of all rows are copies
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest_neighbours(df, F.col("vec_id") % 50 == 0).collect()
+    exact = neighbours.nearest_neighbours(df, F.col("vec_id") % 50 == 0, exact=True).collect()
+    said = v[::50].astype(np.float64) @ v.T.astype(np.float64)
+    said[np.arange(100), np.arange(0, 5000, 50)] = -np.inf
+    want = {(50 * q, r + 1, i) for q, s in enumerate(said) for r, i in enumerate(np.lexsort((np.arange(5000), -s))[:20].tolist())}
+    assert {(r.query_id, r["rank"], r.vec_id) for r in exact} == want and len(got) == 2000
+    assert len({(r.query_id, r.vec_id) for r in got} & {(q, i) for q, _, i in want}) >= 0.9 * len(want)
 
 
 def test_neighbours_odd_rows(spark):
