@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 
 FEATURES = 1 << 13
-SLOTS = 7  # features of a word, for itself and for its two neighbours
+SLOTS = 8  # features of a word, for itself and for its two neighbours
 RUNS = ((re.compile("[A-Z]+"), "X"), (re.compile("[^\\W\\d_A-Z]+"), "x"))
 DIGITS = re.compile("[0-9]+")
 EDGE = re.compile(r"^\W+|\W+$")
@@ -21,13 +21,15 @@ def shape(word: str) -> str:
     return DIGITS.sub(lambda m: "d" * min(4, len(m[0])), word)
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed features: shape, bare shape, size, share of digits, kind of characters, first and last sign."""
+def word_features(token: str) -> list[int]:
+    """Hashed features of a word and of the sign before it (the token's first): that sign, shape, bare shape, size, share of digits, kind of characters, first and last sign."""
+    sign, word = token[:1], token[1:]
     bare = EDGE.sub("", word)
     digits = sum(c.isdigit() for c in bare)
     hexed = bool(bare) and all(c in "0123456789abcdefABCDEF" for c in bare)
     n = len(bare)
     said = (
+        "g" + sign,
         "s" + shape(word)[:40],
         "b" + shape(bare)[:40],
         "n" + str(min(n, 12) if n < 16 else 16 if n < 24 else 24),
