@@ -9,8 +9,8 @@ language that its markup or address declares.
 
 Every labelled language has a model. It is fitted on at most ``SAMPLE`` distinct texts of each
 language, those with the smallest hashes, whose trigrams Spark counts; all other statistics cover
-every row. Texts are never shuffled: a row's evidence
-is computed where it is read, and priors are joined to it by host.
+every row. Texts are never shuffled to be judged: a row's evidence is computed once, where it is
+read, and priors are joined to it by host.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dockmill.llm.common import cut, small_batches, table, url_host, url_path
+from dockmill.llm.common import BROADCAST_KEYS, cut, small_batches, table, url_host, url_path
 
 SAMPLE = 300  # distinct labelled texts of each language that fit the text model
 BUCKETS = 1 << 16
@@ -34,6 +34,7 @@ UNKNOWN = "und"
 TEXT_WEIGHT = 256.0
 DECLARED_RIGHT, ADDRESS_RIGHT, UNKNOWN_PRIOR, STRENGTH = 0.9, 0.8, 0.001, 10.0
 ACCEPT = 0.5
+SALTS = 16
 BROADCAST_HOSTS = 200_000  # rows of some 150 bytes; beyond it Spark joins by shuffle
 
 
@@ -142,32 +143,32 @@ def posterior(scores: np.ndarray, levels: list[np.ndarray], every: np.ndarray) -
     return softmax(scores + np.log(np.maximum(prior, 1e-9)))
 
 
-def identify(df: DataFrame, model: TextModel, *, text: Column, declared: Column, host: Column, address: Column) -> DataFrame:
-    """``df`` with ``__language`` and ``__confidence``, one row per input row.
-
-    Null evidence says nothing. A null, empty or blank text is ``und``. A text of no modelled
-    language has the language that its markup, or else its address, declares. Repeated rows get equal
-    answers; an empty table stays empty; columns of ``df`` keep their values whatever their names.
-    """
-    classes = [*model.languages, UNKNOWN]
-    width = range(len(classes))
+def _scored(df: DataFrame, model: TextModel, *, text: Column, declared: Column, host: Column, address: Column, carry: list[str]) -> DataFrame:
+    """The ``carry`` columns of ``df`` with __rid, __score, __host and __other; every text is scored once."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def score(texts: pd.Series, declared: pd.Series, address: pd.Series) -> pd.Series:
         return pd.Series([*evidence(shared.value, texts, declared, address)])
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def share(scores: pd.Series) -> pd.Series:
-        return pd.Series([*softmax(stacked(scores))])
+    said = [F.when((c != "") & ~c.isin(model.languages) & (c != UNKNOWN), c) for c in (_language(declared), _language(address))]
+    other = F.when(F.coalesce(text, F.lit("")).rlike(r"\S"), F.coalesce(*said))
+    scores = score(text, _language(declared), _language(address))
+    return cut(small_batches(df).select(*(F.col(f"`{c}`") for c in carry), F.monotonically_increasing_id().alias("__rid"), scores.alias("__score"), F.coalesce(host, F.lit("")).alias("__host"), other.alias("__other")))
+
+
+def _decided(rows: DataFrame, languages: list[str]) -> tuple[DataFrame, bool]:
+    """``rows`` with __language and __confidence, and whether all their columns are there: beyond ``BROADCAST_HOSTS`` hosts only __rid is, as more would be shuffled."""
+    classes = [*languages, UNKNOWN]
+    width = range(len(classes))
 
     def stacked(rows: pd.Series) -> np.ndarray:
         return np.array(rows.to_list(), np.float64).reshape(-1, len(classes))
 
-    said = [F.when((c != "") & ~c.isin(model.languages) & (c != UNKNOWN), c) for c in (_language(declared), _language(address))]
-    other = F.when(F.coalesce(text, F.lit("")).rlike(r"\S"), F.coalesce(*said))
-    scores = score(text, _language(declared), _language(address))
-    rows = small_batches(df).withColumns({"__score": scores, "__host": F.coalesce(host, F.lit("")), "__other": other})
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def share(scores: pd.Series) -> pd.Series:
+        return pd.Series([*softmax(stacked(scores))])
+
     shares = rows.select("__host", share("__score").alias("p"))
     hosts = cut(shares.groupBy("__host").agg(*(F.sum(F.col("p")[k]).alias(f"p{k}") for k in width)))
     hosts = hosts.select("__host", F.array(*(f"p{k}" for k in width)).alias("h"), F.regexp_extract("__host", r"([^.]*\.)?[^.]*$", 0).alias("domain"), F.regexp_extract("__host", r"[^.]*$", 0).alias("suffix"))
@@ -178,8 +179,6 @@ def identify(df: DataFrame, model: TextModel, *, text: Column, declared: Column,
     sums = hosts.agg(*(F.sum(F.col("h")[k]) for k in width)).first()
     every = np.array([x or 0.0 for x in sums])
     tree = hosts.join(level("domain", "d"), "domain").join(level("suffix", "t"), "suffix").select("__host", F.struct("t", "d", "h").alias("__levels"))
-    if hosts.count() <= BROADCAST_HOSTS:
-        tree = F.broadcast(tree)
 
     @F.pandas_udf("language string, confidence double")
     def decide(scores: pd.Series, levels: pd.DataFrame) -> pd.DataFrame:
@@ -187,9 +186,31 @@ def identify(df: DataFrame, model: TextModel, *, text: Column, declared: Column,
         best = p.argmax(1)
         return pd.DataFrame({"language": [classes[k] for k in best], "confidence": p[np.arange(len(p)), best]})
 
-    found = rows.join(tree, "__host").withColumn("__found", decide("__score", "__levels"))
+    few = hosts.count() <= BROADCAST_HOSTS
+    if few:
+        found = rows.join(F.broadcast(tree), "__host")
+    else:  # a common host's rows are split by salt
+        salt = F.pmod(F.xxhash64("__rid"), F.lit(SALTS)).cast("int")
+        found = rows.select("__rid", "__score", "__host", "__other", salt.alias("__salt")).join(tree.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["__host", "__salt"])
+    found = found.withColumn("__found", decide("__score", "__levels"))
     language = F.when(F.col("__found.language") == UNKNOWN, F.coalesce("__other", F.lit(UNKNOWN))).otherwise(F.col("__found.language"))
-    return found.select(*(F.col(f"`{c}`") for c in df.columns), language.alias("__language"), F.col("__found.confidence").alias("__confidence"))
+    return found.withColumns({"__language": language, "__confidence": F.col("__found.confidence")}), few
+
+
+def identify(df: DataFrame, model: TextModel, *, text: Column, declared: Column, host: Column, address: Column, carry: list[str] | None = None) -> DataFrame:
+    """The ``carry`` columns of ``df`` (all by default) with ``__language`` and ``__confidence``, one row per input row.
+
+    Null evidence says nothing. A null, empty or blank text is ``und``. A text of no modelled
+    language has the language that its markup, or else its address, declares. Very long texts are
+    read whole; of equal shares the class first by name wins. Repeated rows get equal answers; an
+    empty table stays empty; columns of ``df`` keep their values whatever their names.
+    """
+    carry = df.columns if carry is None else carry
+    rows = _scored(df, model, text=text, declared=declared, host=host, address=address, carry=carry)
+    found, whole = _decided(rows, model.languages)
+    if not whole:
+        found = rows.join(found.select("__rid", "__language", "__confidence"), "__rid")
+    return found.select(*(F.col(f"`{c}`") for c in carry), "__language", "__confidence")
 
 
 def accepted() -> Column:
@@ -200,27 +221,40 @@ def accepted() -> Column:
 def keep_known_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", host_col: str = "source") -> DataFrame:
     """The rows of ``docs`` whose text has a language, all their columns kept.
 
-    A declared language that the text contradicts is no reason to reject a row. Without any
-    labelled text nothing tells languages apart, and every text with a letter is kept.
+    ``lang_col`` only labels the text model's sample; what it says of a row is no evidence for that
+    row, unless the text has no modelled language. Without any labelled text nothing tells languages
+    apart, and every text with a letter is kept. A null or blank text has no language. Repeated rows
+    are judged alike; an empty table stays empty. Whole rows are shuffled only if more than
+    ``BROADCAST_KEYS`` rows go and there are more than ``BROADCAST_HOSTS`` hosts.
     """
     model = fit(docs, text_col, lang_col)
     if not model.languages:
         return docs.where(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
-    found = identify(docs, model, text=F.col(text_col), declared=F.col(lang_col), host=F.col(host_col), address=F.lit(None).cast("string"))
-    return found.where(accepted()).select(*docs.columns)
+    none = F.lit(None).cast("string")
+    rows = _scored(docs, model, text=F.col(text_col), declared=none, host=F.col(host_col), address=none, carry=docs.columns)
+    found, whole = _decided(rows, model.languages)
+    if whole:
+        return found.where(accepted()).select(*docs.columns)
+    gone = cut(found.where(~accepted()).select("__rid"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    return rows.join(gone, "__rid", "left_anti").select(*docs.columns)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of ``documents`` (doc_id) and of ``pages`` (page_id): its language, confidence and whether it is accepted."""
+    """Every row of ``documents`` (doc_id) and of ``pages`` (page_id): its language, confidence and whether it is accepted.
+
+    ``lang`` of ``documents`` fits the text model and is no evidence; pages declare by their markup. Odd rows as in ``identify``.
+    """
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     none = F.lit(None)
     plain = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
-    rows = docs.select("doc_id", none.cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), none.cast("string").alias("address"))
+    rows = docs.select("doc_id", none.cast("long").alias("page_id"), "text", none.cast("string").alias("declared"), F.col("source").alias("host"), none.cast("string").alias("address"))
     rows = rows.unionByName(
         pages.select(
             none.cast("long").alias("doc_id"), "page_id", plain.alias("text"), F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1).alias("declared"),
             url_host(F.col("url")).alias("host"), F.regexp_extract(url_path(F.col("url")), r"^/([A-Za-z]{2})(/|$)", 1).alias("address"),
         )
     )
-    found = identify(rows, fit(docs), text=F.col("text"), declared=F.col("declared"), host=F.col("host"), address=F.col("address"))
+    carry = ["doc_id", "page_id", "declared", "host"]
+    found = identify(rows, fit(docs), text=F.col("text"), declared=F.col("declared"), host=F.col("host"), address=F.col("address"), carry=carry)
     return found.select("doc_id", "page_id", F.col("__language").alias("language"), F.round("__confidence", 6).alias("confidence"), accepted().alias("accepted"), "declared", "host")
