@@ -24,11 +24,14 @@ def ascii_lower(text: Column) -> Column:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder from ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, local mode) gets a folder of its own.
+    A local session without that setting (tests) gets a folder of its own; on a cluster, whose
+    machines share no temporary folder, the setting is required.
     """
     if spark.sparkContext.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="dockmill-checkpoint-"))
 
 
@@ -82,6 +85,30 @@ def keep_rows(df: DataFrame, found: DataFrame, id_col: str, key: Column) -> Data
     return rows.drop("__key")
 
 
+#: Rows of one key from which on the key is no longer left to a single task.
+HOT_ROWS = 1000
+
+
+def hot_rows(rows: int) -> int:
+    """From how many rows on a key is hot, so that at most ``BROADCAST_KEYS`` of ``rows`` rows' keys are."""
+    return max(HOT_ROWS, rows // BROADCAST_KEYS)
+
+
+def join_counted(rows: DataFrame, one: DataFrame, keys: list[str], count_col: str) -> DataFrame:
+    """``rows`` joined with ``one``, which has a row for each key and tells in ``count_col`` how many rows have it.
+
+    Hot keys, at most ``BROADCAST_KEYS``, are broadcast, so their rows stay where they are; the rest is shuffled.
+    """
+    one = cut(one)
+    total = one.agg(F.sum(count_col)).first()[0] or 0
+    hot = F.col(count_col) > hot_rows(total)
+    often = cut(one.where(hot))
+    if often.isEmpty():
+        return rows.join(one, keys)
+    rest = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(one.where(~hot), keys)
+    return rows.join(F.broadcast(often), keys).unionByName(rest)
+
+
 def gaps(values: list) -> Iterator[int]:
     """Positions of None, found at the speed of ``list.index``."""
     k = -1
@@ -93,16 +120,22 @@ def gaps(values: list) -> Iterator[int]:
         return
 
 
-#: Rows of whole texts that go to a Python worker at once. Spark's own number is meant for short rows.
-TEXT_ROWS = 500
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of whole texts that go to a Python worker at once. Spark's own number of rows is meant for short ones.
+TEXT_ROWS, TEXT_BYTES = 500, 32 << 20
+ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with this session's Arrow batches held to ``TEXT_ROWS`` rows, so that a worker's memory stays bounded."""
+    """``df``, with this session's Arrow batches held to ``TEXT_ROWS`` rows and ``TEXT_BYTES``, so that a worker's memory stays bounded.
+
+    Both are settings of the session, which Spark reads when it plans; smaller ones of the caller stay.
+    """
     conf = df.sparkSession.conf
-    if int(conf.get(ARROW_ROWS)) > TEXT_ROWS:
-        conf.set(ARROW_ROWS, str(TEXT_ROWS))
+    for name, most in ((ARROW_ROWS, TEXT_ROWS), (ARROW_BYTES, TEXT_BYTES)):
+        now = conf.get(name, None)
+        number = int(str(now).lower().removesuffix("b")) if now is not None and str(now).lower().removesuffix("b").lstrip("-").isdigit() else None
+        if number is None or number <= 0 or number > most:
+            conf.set(name, str(most))
     return df
 
 

@@ -6,10 +6,11 @@ a run of equal blocks is its name. Adjacent names are then paired and the pairs
 same way until each document has a single name. Names come from comparing whole blocks, never
 from a digest, so two documents share (number of blocks, final name) only if they are equal.
 
-Skew: the text is shuffled once. The ``HOT_BLOCKS`` most frequent blocks (a bounded table of
-at most ``HOT_BLOCKS * BLOCK`` characters) are named beforehand and joined by broadcast, so
-their rows are neither shuffled by text nor gathered in a task. Pairs are named by an
-aggregation with map-side combining and a join back, which Spark splits where a key is hot.
+Skew: the text is shuffled once. Blocks of more than ``HOT_ROWS`` rows (known by a hash, whose
+counts are combined before they are shuffled) are named beforehand, each once; the names are joined
+by broadcast, or beyond ``BROADCAST_BLOCKS`` of them by salted keys, so no task gathers a hot
+block's rows. Pairs and groups are named by aggregates with map-side combining, and hot ones are
+joined back by broadcast.
 """
 
 from __future__ import annotations
@@ -17,45 +18,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockmill.llm.common import ascii_lower, cut, keep_rows, table
+from dockmill.llm.common import BROADCAST_KEYS, HOT_ROWS, ascii_lower, cut, hot_rows, join_counted, keep_rows, table
 
 BLOCK = 1024
-HOT_BLOCKS = 1000
+BROADCAST_BLOCKS, SALTS = 8_192, 16
 
 
-def _blocks(df: DataFrame, id_col: str, text_col: str, *, normalise: bool) -> DataFrame:
-    raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).alias("doc_id"), (ascii_lower(raw) if normalise else raw).alias("text"))
+def _blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     cut_up = F.when(F.length("text") == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % BLOCK), F.lit(0)))
-    if not normalise:
-        return rows.select(F.explode(cut_up).alias("block"))
+    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.sha2("text", 256).alias("sha"), cut_up.alias("blocks"))
     rows = rows.select("rid", "doc_id", "sha", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("pos", "block"))
     first = F.col("pos") == 0
     return rows.select("rid", "n_blocks", "pos", "block", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("sha")).alias("sha"))
 
 
-def _hot_blocks(df: DataFrame, text_col: str) -> DataFrame:
-    """(block, hot_name): names -1, -2, ... for the most frequent blocks, repeats only."""
-    raw = _blocks(df, text_col, text_col, normalise=False)
-    counts = raw.groupBy(F.xxhash64("block").alias("h")).count().where("count > 1")
-    top = [r.h for r in counts.orderBy(F.desc("count"), "h").limit(HOT_BLOCKS).collect()]
-    blocks = raw.where(F.xxhash64("block").isin(top)).select(ascii_lower(F.col("block")).alias("block")).distinct()
-    blocks = blocks.orderBy("block").limit(2 * HOT_BLOCKS)
-    return blocks.select("block", (-F.row_number().over(Window.orderBy("block"))).cast("long").alias("hot_name"))
+def _named_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` of _blocks with the name of each block in its place."""
+    keyed = rows.withColumn("h", F.xxhash64("block"))
+    counts = cut(keyed.groupBy("h").count().where(F.col("count") > HOT_ROWS))
+    often_rows = hot_rows(keyed.count()) if counts.count() > BROADCAST_KEYS else HOT_ROWS
+    hot = cut(counts.where(F.col("count") > often_rows).select("h"))
+    same = Window.partitionBy("block")
+    cold_name = F.min("bid").over(same).alias("name")
+    kept = ["rid", "n_blocks", "pos", "doc_id", "sha"]
+    numbered = keyed.withColumn("bid", F.monotonically_increasing_id())
+    if hot.isEmpty():
+        return numbered.select(*kept, cold_name)
+    often = keyed.join(F.broadcast(hot), "h", "left_semi").select("block").distinct()
+    often = cut(often.select("block", (-1 - F.monotonically_increasing_id()).alias("name")))
+    cold = numbered.join(F.broadcast(hot), "h", "left_anti").select(*kept, cold_name)
+    warm = keyed.join(F.broadcast(hot), "h", "left_semi")
+    if often.count() <= BROADCAST_BLOCKS:  # at most 1,024 characters each
+        return cold.unionByName(warm.join(F.broadcast(often), "block").select(*kept, "name"))
+    salted = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    warm = warm.withColumn("salt", F.pmod(F.xxhash64("rid", "pos"), F.lit(SALTS)).cast("int"))
+    return cold.unionByName(warm.join(salted, ["block", "salt"]).select(*kept, "name"))
 
 
 def name_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, doc_id, sha, n_blocks, name): one row per input row; equal texts share n_blocks and name."""
-    rows = _blocks(df, id_col, text_col, normalise=True).join(F.broadcast(_hot_blocks(df, text_col)), "block", "left")
-    cold = F.col("hot_name").isNull()
-    rows = rows.select(
-        "rid", "n_blocks", "pos", "doc_id", "sha", "hot_name", F.monotonically_increasing_id().alias("bid"),
-        F.when(cold, F.col("block")).alias("block"), F.when(~cold, F.col("rid")).alias("spread"),
-    )
-    same = Window.partitionBy("block", "spread")
-    named = rows.select("rid", "n_blocks", "pos", "doc_id", "sha", F.coalesce("hot_name", F.min("bid").over(same)).alias("name"))
-    named = cut(named)
+    named = cut(_named_blocks(_blocks(df, id_col, text_col)))
     meta = named.where("pos = 0").select("rid", "doc_id", "sha", "n_blocks")
     done = named.where("n_blocks = 1").select("rid", "name")
     level, left = named.where("n_blocks > 1").select("rid", "pos", F.col("n_blocks").alias("n"), "name"), True
@@ -65,8 +69,8 @@ def name_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.max(F.when(even, F.col("name"))).alias("a"), F.max(F.when(~even, F.col("name"))).alias("b"),
         )
         pairs = cut(pairs.select("rid", "pos", "n", "a", F.coalesce("b", F.lit(-(2**62))).alias("b"), F.monotonically_increasing_id().alias("bid")))
-        names = pairs.groupBy("a", "b").agg(F.min("bid").alias("name"))
-        level = cut(pairs.join(names, ["a", "b"]).select("rid", "pos", "n", "name"))
+        names = pairs.groupBy("a", "b").agg(F.min("bid").alias("name"), F.count(F.lit(1)).alias("rows"))
+        level = cut(join_counted(pairs, names, ["a", "b"], "rows").select("rid", "pos", "n", "name"))
         done = done.unionByName(level.where("n = 1").select("rid", "name"))
         level = level.where("n > 1")
         left = not level.isEmpty()
@@ -78,12 +82,12 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are equal when identical after lower-casing A-Z. A null text counts as empty; an empty
     text is a text like any other. The row with the largest id stays (null ids are the smallest);
-    of repeated rows with that id exactly one stays. An empty table gives no rows. Other columns
-    of ``df`` are ignored, whatever their names.
+    of repeated rows with that id exactly one stays. Very long texts are compared whole. An empty
+    table gives no rows. Other columns of ``df`` are ignored, whatever their names.
     """
     docs = cut(name_documents(df, id_col, text_col))
     groups = docs.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    joined = docs.join(groups, ["n_blocks", "name"])
+    joined = join_counted(docs, groups, ["n_blocks", "name"], "group_size")
     return joined.select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
         (F.col("keep.rid") == F.col("rid")).alias("kept"), F.col("sha").alias("text_sha256"),
@@ -97,6 +101,7 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all ``documents``; odd rows as in ``exact_duplicates``."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 

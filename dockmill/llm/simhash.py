@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockmill.llm.common import cut, keep_rows, small_batches, table
+from dockmill.llm.common import cut, join_counted, keep_rows, small_batches, table
 from dockmill.llm.components import connected_components
 
 BITS, RADIUS, WORDS = 64, 3, 3
@@ -177,13 +177,13 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def _components(docs: DataFrame, radius: int) -> DataFrame:
     """``docs`` (doc_id, fp, text_key) with component_id."""
-    reps = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    reps = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
     roots = connected_components(link_fingerprints(reps.select("fp"), radius))
     linked = roots.join(reps, roots["node"] == reps["fp"]).select("fp", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(smallest, "root").select("fp", "component_id")
-    every = reps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return docs.join(every, "fp")
+    every = reps.join(named, "fp", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id"))
+    return join_counted(docs, every, ["fp"], "rows").drop("rows")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null text counts as empty; texts without words have the fingerprint zero, which links like
     any other. Repeated rows repeat. Null ids are ignored when the smallest is taken. An empty
-    table gives no rows. Other columns of ``docs`` are ignored, whatever their names.
+    table gives no rows. Very long texts are read whole. A bit that exactly half the hashes set is
+    0. Other columns of ``docs`` are ignored, whatever their names.
     """
     found = _components(cut(fingerprints(docs, id_col, text_col, words)), radius)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -206,4 +207,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all ``documents``; odd rows as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
