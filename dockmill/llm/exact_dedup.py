@@ -40,21 +40,22 @@ def _named_blocks(rows: DataFrame) -> DataFrame:
     counts = cut(keyed.groupBy("h").count().where(F.col("count") > HOT_ROWS))
     often_rows = hot_rows(keyed.count()) if counts.count() > BROADCAST_KEYS else HOT_ROWS
     hot = cut(counts.where(F.col("count") > often_rows).select("h"))
-    same = Window.partitionBy("block")
-    cold_name = F.min("bid").over(same).alias("name")
     kept = ["rid", "n_blocks", "pos", "doc_id", "sha"]
-    numbered = keyed.withColumn("bid", F.monotonically_increasing_id())
+    numbered = rows.withColumn("bid", F.monotonically_increasing_id())
     if hot.isEmpty():
-        return numbered.select(*kept, cold_name)
+        return numbered.select(*kept, F.min("bid").over(Window.partitionBy("block")).alias("name"))
     often = keyed.join(F.broadcast(hot), "h", "left_semi").select("block").distinct()
-    often = cut(often.select("block", (-1 - F.monotonically_increasing_id()).alias("name")))
-    cold = numbered.join(F.broadcast(hot), "h", "left_anti").select(*kept, cold_name)
-    warm = keyed.join(F.broadcast(hot), "h", "left_semi")
+    often = cut(often.select("block", (-1 - F.monotonically_increasing_id()).alias("hot_name")))
     if often.count() <= BROADCAST_BLOCKS:  # at most 1,024 characters each
-        return cold.unionByName(warm.join(F.broadcast(often), "block").select(*kept, "name"))
+        numbered = numbered.join(F.broadcast(often), "block", "left")
+        cold = F.col("hot_name").isNull()  # a hot block's rows are named already; they go where their number leads
+        numbered = numbered.select(*kept, "bid", "hot_name", F.when(cold, F.col("block")).alias("block"), F.when(~cold, F.col("bid")).alias("spread"))
+        return numbered.select(*kept, F.coalesce("hot_name", F.min("bid").over(Window.partitionBy("block", "spread"))).alias("name"))
+    numbered = numbered.withColumn("h", F.xxhash64("block"))
+    cold = numbered.join(F.broadcast(hot), "h", "left_anti").select(*kept, F.min("bid").over(Window.partitionBy("block")).alias("name"))
     salted = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    warm = warm.withColumn("salt", F.pmod(F.xxhash64("rid", "pos"), F.lit(SALTS)).cast("int"))
-    return cold.unionByName(warm.join(salted, ["block", "salt"]).select(*kept, "name"))
+    warm = numbered.join(F.broadcast(hot), "h", "left_semi").withColumn("salt", F.pmod(F.xxhash64("rid", "pos"), F.lit(SALTS)).cast("int"))
+    return cold.unionByName(warm.join(salted, ["block", "salt"]).select(*kept, F.col("hot_name").alias("name")))
 
 
 def name_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
