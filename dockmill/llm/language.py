@@ -87,15 +87,16 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     texts = rows.join(drawn, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(batches):
+        by: dict[str, np.ndarray] = {}
         for batch in batches:
-            by: dict[str, np.ndarray] = {}
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes = np.bincount(trigram_codes(text), minlength=BUCKETS)
                 by[name] = by[name] + codes if name in by else codes
-            for name, n in by.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
+        for name, n in by.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
 
+    texts = texts.repartition("lang")  # at most ``sample`` texts of each
     sums = texts.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     sums = cut(sums.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("n")))  # at most ``BUCKETS`` numbers
     counts = {}
