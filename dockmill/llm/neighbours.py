@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dockmill.llm.common import cut, partitions_for, table
+from dockmill.llm.common import BROADCAST_KEYS, cut, partitions_for, table
 
 SHARD, QUERY_BLOCK = 8_192, 8_192
 CENTRE_SAMPLE, MOST_CENTRES, ROUNDS = 65_536, 4_096, 8
@@ -357,7 +357,8 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 20, id_col: str
     placed = cut(nodes.withColumn("cell", cell_of("vector", "dim"))) if centres else nodes.withColumn("cell", F.lit(0))
     cells = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("parts"))
     cells = cut(cells)  # at most one row for a centre and for each further length
-    dealt = placed.join(cells, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
+    few = cells.count() <= BROADCAST_KEYS
+    dealt = placed.join(F.broadcast(cells) if few else cells, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
@@ -386,7 +387,7 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 20, id_col: str
     sent = cut(asked.select("vec_id", "rid", "dim", "vector", F.explode(cells_of("vector", "dim")).alias("cell")))
     busy = sent.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
     where = cells.join(busy, ["dim", "cell"])
-    sent = sent.join(where, ["dim", "cell"]).withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "block": F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")})
+    sent = sent.join(F.broadcast(where) if few else where, ["dim", "cell"]).withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "block": F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")})
     keys = ["dim", "cell", "part", "block"]
 
     def search(graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
