@@ -103,9 +103,11 @@ def concept_effect(cases: DataFrame, tagged: DataFrame, limit: int = 30) -> Data
     return top(success(tagged, "concept"), limit, "total", "concept").crossJoin(F.broadcast(overall)).select("concept", "total", "wins", "win_rate", lift(F.col("win_rate"), F.col("overall")).alias("lift"))
 
 
-def concept_combinations(tagged: DataFrame, size: int, *, most: int = 8, least: int = 2) -> DataFrame:
-    """Sets of two or three concepts that cases hold, with success; at most ``most`` concepts of a case count, by name."""
-    lists = tagged.groupBy("case_id").agg(F.slice(F.sort_array(F.collect_set("concept")), 1, most).alias("c"), F.max("won").alias("won"))
+def concept_combinations(tagged: DataFrame, size: int, *, most: int | None = None, top_concepts: int = 15, least: int = 2) -> DataFrame:
+    """Sets of two or three of the ``top_concepts`` commonest concepts that cases hold, with success; with ``most``, only a case's first such by name count."""
+    top_names = top(tagged.groupBy("concept").agg(F.count(F.lit(1)).alias("n")), top_concepts, "n", "concept").select("concept")
+    lists = tagged.join(F.broadcast(top_names), "concept").groupBy("case_id").agg(F.sort_array(F.collect_set("concept")).alias("c"), F.max("won").alias("won"))  # at most 30 names by the limit's range
+    lists = lists if most is None else lists.withColumn("c", F.slice("c", 1, most))
     pairs = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b > a), lambda b: F.array(a, b))))
     if size == 3:
         pairs = F.flatten(F.transform(pairs, lambda p: F.transform(F.filter("c", lambda x: x > p[1]), lambda x: F.concat(p, F.array(x)))))
@@ -113,6 +115,12 @@ def concept_combinations(tagged: DataFrame, size: int, *, most: int = 8, least:
     return found.select(*(F.col("set")[k].alias(f"concept_{'abc'[k]}") for k in range(size)), "total", "wins", "win_rate")
 
 
+def with_lift(rates: DataFrame, cases: DataFrame) -> DataFrame:
+    """``rates`` with the lift of win_rate over that of all cases."""
+    overall = cases.agg(rate(F.sum(F.col("won").cast("long")), F.count(F.lit(1))).alias("overall"))
+    return rates.crossJoin(F.broadcast(overall)).withColumn("lift", lift(F.col("win_rate"), F.col("overall"))).drop("overall")  # one row
+
+
 def concept_growth(tagged: DataFrame, last_year: int) -> DataFrame:
     """Cases of the last two years against those of the two before, in percent; without history 100."""
     recent = F.sum(F.when(F.col("year").between(last_year - 1, last_year), 1).otherwise(0))

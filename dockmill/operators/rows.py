@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,24 +23,6 @@ def seek_page(df: DataFrame, year: int | None, key, size: int, *, year_col: str
     return page.orderBy(y.desc(), k.desc()) if backwards else page
 
 
-def page_count(total: int, size: int) -> int:
-    return max(1, -(-total // size))
-
-
-def query_signature(query: dict) -> str:
-    """16 hex digits that name a query's filters."""
-    return hashlib.sha256(json.dumps(query, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
-
-
-def choose_plan(page: int, pages: int, *, keyword: bool, sort_by: str, anchored: bool = False, head: int = 3, tail: int = 2) -> str:
-    """Which way a page is reached: by seeking from either end or an anchor, else by offset."""
-    if keyword or sort_by not in ("year", "date"):
-        return "offset_fallback"
-    if page <= head or anchored:
-        return "seek_forward"
-    return "seek_reverse" if page > pages - tail else "offset_fallback"
-
-
 def keyword_filter(df: DataFrame, words: str, cols: list[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a | b, [contains_ci(F.col(c), words) for c in cols]))
 
@@ -113,11 +93,17 @@ def fill_rates(df: DataFrame, cols: list[str], group: str) -> DataFrame:
 
 
 def stratified_blocks(df: DataFrame, stratum: str, key: str, percent: int, block: int, seed: int = 0) -> DataFrame:
-    """A sample of max(1, percent) of each stratum in an order fixed by hash, in numbered blocks."""
-    sizes = df.groupBy(stratum).agg(F.greatest(F.lit(1), F.expr(f"count(*) * {percent} div 100")).alias("wanted"))
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    drawn = df.withColumn("place", F.row_number().over(w)).join(F.broadcast(sizes), stratum).where("place <= wanted")  # strata are few: a value of a category
-    return drawn.withColumn("block", F.expr(f"(place - 1) div {block}"))
+    """A sample of max(1, percent) of each stratum in an order fixed by hash, in numbered blocks.
+
+    The hash is cut at six standard deviations above the sample's share before rows are ranked, so
+    that the ranking of a large stratum sees little more than the sample.
+    """
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__rows")).withColumn("wanted", F.greatest(F.lit(1), F.expr(f"__rows * {percent} div 100")))
+    drawn = df.withColumn("__at", F.xxhash64(F.col(key), F.lit(seed)))
+    share = F.least(F.lit(1.0), (F.col("wanted") + 6 * F.sqrt("wanted") + 20) / F.col("__rows"))
+    low = drawn.join(F.broadcast(sizes), stratum).where(F.col("__at") / F.lit(2.0**64) + 0.5 <= share)  # strata are few: a value of a category
+    w = Window.partitionBy(stratum).orderBy("__at", key)
+    return low.withColumn("place", F.row_number().over(w)).where("place <= wanted").withColumn("block", F.expr(f"(place - 1) div {block}")).drop("__at", "__rows")
 
 
 def visible_rows(df: DataFrame, tenant: str | None, col: str = "tenant_id") -> DataFrame:

@@ -150,7 +150,7 @@ def concept_by_court(spark, d):
 @query(f"""WITH {CASES_SQL}, {CONCEPTS_SQL}, g AS (SELECT x.concept AS concept_a, y.concept AS concept_b, {SUMS} FROM concepts x JOIN concepts y ON x.case_id = y.case_id AND x.concept < y.concept JOIN cases ON cases.case_id = x.case_id GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT concept_a, concept_b, total, wins, {RATE} AS win_rate FROM g""")
 def concept_pairs(spark, d):
-    return a.concept_combinations(tagged(spark, d), 2)
+    return a.concept_combinations(tagged(spark, d), 2, most=8)
 
 
 @query(f"""WITH {CASES_SQL}, {CONCEPTS_SQL}, g AS (SELECT x.concept AS concept_a, y.concept AS concept_b, z.concept AS concept_c, {SUMS} FROM concepts x JOIN concepts y ON x.case_id = y.case_id AND x.concept < y.concept

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dockmill.plans import analytics, retrieval, rows
+from dockmill.plans import analytics, further, retrieval, rows
 
-QUERIES = analytics.QUERIES | rows.QUERIES | retrieval.QUERIES
-ORACLE_SQL = analytics.ORACLE_SQL | rows.ORACLE_SQL | retrieval.ORACLE_SQL
+QUERIES = analytics.QUERIES | rows.QUERIES | retrieval.QUERIES | further.QUERIES
+ORACLE_SQL = analytics.ORACLE_SQL | rows.ORACLE_SQL | retrieval.ORACLE_SQL | further.ORACLE_SQL

@@ -60,8 +60,6 @@ def test_row_changes(spark):
     assert r.delete_rows(base, "k", [1]).count() == 1
     assert r.update_rows(base, "k", 1, {"v": "z", "k": 9}, {"v"}).where("k = 1 and v = 'z'").count() == 1
     assert values(spark, lambda x: r.add_tag(x, "b<,>"), ["c, a", None, "b"]) == ["a, b, c", "b", "b"]
-    assert r.choose_plan(1, 50, keyword=False, sort_by="date") == "seek_forward" and r.choose_plan(50, 50, keyword=False, sort_by="year") == "seek_reverse"
-    assert r.choose_plan(20, 50, keyword=False, sort_by="date") == "offset_fallback" == r.choose_plan(1, 9, keyword=True, sort_by="date")
 
 
 def test_pages_join_to_the_whole(spark):
