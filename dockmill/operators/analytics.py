@@ -79,11 +79,11 @@ def unpivot_years(wide: DataFrame, courts: list[str]) -> DataFrame:
     return wide.unpivot(["year"], courts, "court", "n").where("n > 0")
 
 
-def flow_links(cases: DataFrame, top_n: int = 8) -> DataFrame:
-    """Links court to nature to outcome; natures and outcomes beyond the ``top_n`` commonest are put together."""
+def flow_links(cases: DataFrame, top_n: int = 8, top_outcomes: int | None = None) -> DataFrame:
+    """Links court to nature to outcome; natures and outcomes beyond the ``top_n`` (``top_outcomes``) commonest are put together."""
     counts = cases.groupBy("court", F.when(F.col("nature") == "", "Unknown").otherwise(F.coalesce("nature", F.lit("Unknown"))).alias("nature"), "outcome").agg(F.count(F.lit(1)).alias("n"))
     natures = top(counts.groupBy("nature").agg(F.sum("n").alias("total")), top_n, "total", "nature").select(F.col("nature").alias("kept_nature"))
-    outcomes = top(counts.groupBy("outcome").agg(F.sum("n").alias("total")), top_n, "total", "outcome").select(F.col("outcome").alias("kept_outcome"))
+    outcomes = top(counts.groupBy("outcome").agg(F.sum("n").alias("total")), top_outcomes or top_n, "total", "outcome").select(F.col("outcome").alias("kept_outcome"))
     # both sides are at most top_n rows
     named = counts.join(F.broadcast(natures), F.col("nature") == F.col("kept_nature"), "left").join(F.broadcast(outcomes), F.col("outcome") == F.col("kept_outcome"), "left")
     named = named.select("court", F.coalesce("kept_nature", F.lit("Other Nature")).alias("nature"), F.coalesce("kept_outcome", F.lit("Other")).alias("outcome"), "n")

@@ -122,13 +122,7 @@ def country_topn(spark, d):
 m AS (SELECT court, CASE WHEN nature IN (SELECT nature FROM n) THEN nature ELSE 'Other Nature' END AS nature, CASE WHEN outcome IN (SELECT outcome FROM o) THEN outcome ELSE 'Other' END AS outcome FROM cases)
 SELECT 0 AS layer, court AS source, nature AS target, count(*) AS n FROM m GROUP BY 2, 3 UNION ALL SELECT 1, nature, outcome, count(*) FROM m GROUP BY 2, 3""")
 def flow_links(spark, d):
-    cases = analogue_cases(spark, d)
-    full = a.flow_links(cases, 3).where("layer = 0")
-    two = cases.groupBy("outcome").count().orderBy(F.desc("count"), "outcome").limit(2).select(F.col("outcome").alias("kept"))
-    natures = cases.groupBy("nature").count().orderBy(F.desc("count"), "nature").limit(3).select(F.col("nature").alias("kept_nature"))
-    named = cases.join(F.broadcast(natures), F.col("nature") == F.col("kept_nature"), "left").join(F.broadcast(two), F.col("outcome") == F.col("kept"), "left")
-    second = named.groupBy(F.lit(1).alias("layer"), F.coalesce("kept_nature", F.lit("Other Nature")).alias("source"), F.coalesce("kept", F.lit("Other")).alias("target")).agg(F.count(F.lit(1)).alias("n"))
-    return full.unionByName(second)
+    return a.flow_links(analogue_cases(spark, d), 3, 2)
 
 
 @query(f"WITH {CASES_SQL}, {CONCEPTS_SQL} SELECT concept, count(*) AS total FROM cases JOIN concepts USING (case_id) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
