@@ -36,12 +36,16 @@ OUTCOMES = [
 ]
 VISA = r"(?i)((?:protection|skilled|partner|student|visitor|bridging|temporary|permanent|subclass\s+\d+)\s*visa)"
 LEGISLATION = [r"(?i)(Migration Act 1958[^.]*)", r"(?i)(Migration Regulations 1994[^.]*)"]
+#: Patterns and how many characters from the beginning they look at; None stands for all.
 HEARING = [
+    (None, r"(?i)Date\s+of\s+(?:hearing|hearing\s+and\s+decision)[:\s]+" + DAY),
+    (None, r"(?i)(?:heard|hearing)[^\n]{0,40}?" + DAY),
     (3000, r"(?i)DATE\s*:\s*\n\s*\n?\s*" + DAY),
     (5000, r"(?i)Statement\s+made\s+on\s+" + DAY),
     (5000, r"(?i)(?:decision|decided|delivered|handed\s+down)\s+(?:on\s+)?" + DAY),
     (5000, r"(?i)Date\s+of\s+(?:judgment|decision|orders?)\s*:\s*\n?\s*" + DAY),
     (5000, r"(?i)(?:^|\n)\s*(?:Judgment|Decision|Delivered\s+on)\s*:\s*\n?\s*" + DAY),
+    (5000, r"(?i)Date\s+heard\s*:?\s*" + DAY),
 ]
 STANDARD_OUTCOMES = [
     ("dismiss", "Dismissed"), ("affirm", "Affirmed"), ("set aside", "Set aside"), ("substitut", "Set aside"), ("remit", "Remitted"), ("quash", "Quashed"), ("uphold", "Upheld"), ("upheld", "Upheld"),
@@ -116,9 +120,10 @@ def decision_date(c: Column) -> Column:
 
 
 def hearing_date(c: Column) -> Column:
-    """The date that the beginning of the text names as heard, made or handed down."""
+    """The date that the text names as heard, else the one its beginning names as made or handed down."""
     said = text(c)
-    found = [F.when(F.left(said, F.lit(n)).rlike(p), F.regexp_extract(F.left(said, F.lit(n)), p, 1)) for n, p in HEARING]
+    parts = [(said if n is None else F.left(said, F.lit(n)), p) for n, p in HEARING]
+    found = [F.when(part.rlike(p), F.regexp_extract(part, p, 1)) for part, p in parts]
     return F.coalesce(*found, F.lit(""))
 
 

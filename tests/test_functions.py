@@ -94,3 +94,20 @@ def test_streams(spark, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, windowed_counts(events).collect()))
+
+
+def test_hearing_date_rules_in_order(spark):
+    from dockmill.functions.extraction import hearing_date
+
+    late = "x" * 6000
+    cases = {
+        "Delivered on 1 May 2020. Date of hearing: 2 May 2020": "2 May 2020",
+        "Decision on 1 May 2020. It was heard at Perth on 3 June 2019": "3 June 2019",
+        f"{late} Date of hearing and decision: 4 July 2018": "4 July 2018",
+        f"{late} handed down on 4 July 2018": "",
+        "Date heard: 5 August 2017": "5 August 2017",
+        "DATE:\n\n6 March 2016": "6 March 2016",
+        "no date": "",
+        None: "",
+    }
+    assert values(spark, hearing_date, [*cases]) == [*cases.values()]
