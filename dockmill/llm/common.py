@@ -41,6 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove ``path`` and what lies in it, whichever store it is in."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def partitions_for(rows: int, per_partition: int) -> int:
     """How many groups of about ``per_partition`` rows hold ``rows`` rows."""
     return max(1, -(-rows // per_partition))

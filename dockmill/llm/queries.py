@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dockmill.llm import bpe, chat, exact_dedup, html_extract, language, neighbours, packing, pii, simhash, url_filter
+from dockmill.llm import bpe, chat, exact_dedup, html_extract, infill, language, line_dedup, neighbours, packing, pii, simhash, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_bpe": bpe.op9_bpe,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op13_infill": infill.op13_infill,
 }
-ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op11_line_dedup": line_dedup.ORACLE_SQL}
