@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dockmill.llm import bpe, chat, exact_dedup, html_extract, infill, language, line_dedup, neighbours, packing, pii, simhash, url_filter
+from dockmill.llm import bpe, chat, collocations, exact_dedup, html_extract, infill, language, line_dedup, neighbours, packing, pii, simhash, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_chat_format": chat.op10_chat_format,
     "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_collocations": collocations.op12_collocations,
     "op13_infill": infill.op13_infill,
 }
-ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op11_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op11_line_dedup": line_dedup.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL}
