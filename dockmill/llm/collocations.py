@@ -5,7 +5,10 @@ its overlapping parts of k-1 words are frequent: what the pass before found is b
 set of hashes. The set has at most ``MOST_BITS`` bits at any size of the input; a chance meeting of
 hashes lets a phrase through that is then counted exactly like others and dropped for its count, so
 it costs a row and changes nothing. Tasks count in numpy and emit each phrase once for every
-``FLUSH_WORDS`` words, so a word that is everywhere reaches the shuffle as a few rows.
+``FLUSH_WORDS`` words, so a word that is everywhere reaches the shuffle as a few rows. Phrases of
+two words and more are many; they are shuffled in packed bundles, one for each bucket of a hash, and
+a bucket's bundles are added up in Arrow. There are so many buckets that each has at most about
+``BUCKET_WORDS`` phrases.
 
 The cuts of a candidate are scored from the tables of the levels: every part of a frequent phrase
 is frequent, so its count is there.
@@ -18,16 +21,17 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dockmill.llm.common import BROADCAST_KEYS, cut, join_counted, small_batches, table
+from dockmill.llm.common import BROADCAST_KEYS, cut, join_counted, partitions_for, small_batches, table
 
 WORDS, MIN_COUNT, TOP = 3, 10, 2000
 #: A shorter phrase goes if a longer candidate around it has at least so many hundredths of its count.
 COVERED = 50
 UNKNOWN_LANG = "und"
-FLUSH_WORDS, FLUSH_DISTINCT = 1 << 22, 1 << 20
+FLUSH_WORDS, FLUSH_DISTINCT, BUCKET_WORDS = 1 << 22, 1 << 20, 1 << 22
 #: Bits for a frequent phrase, and the most bits of the set that is broadcast (64 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 29
 SALTS = 64
@@ -76,7 +80,7 @@ def word_hash(word: bytes) -> int:
 class Counter:
     """Counts of phrases of ``k`` words in the texts given so far, by language."""
 
-    def __init__(self, k: int, known: np.ndarray | None):
+    def __init__(self, k: int, known: np.ndarray | None = None):
         self.k, self.known = k, known
         self.clear()
 
@@ -96,23 +100,42 @@ class Counter:
     def full(self) -> bool:
         return self.size >= FLUSH_WORDS or len(self.ids) >= FLUSH_DISTINCT
 
-    def batches(self):
-        """What was counted, and a row without phrase for all words of a language in the first pass."""
+    def counted(self):
+        """What was counted: language, phrases and their counts, and a hash of each (from the second pass on)."""
         words = pa.array(list(self.ids), pa.binary())
         hashes = np.fromiter(map(word_hash, self.ids), np.uint64, len(self.ids)) if self.k > 1 else None
         for lang, texts in self.texts.items():
-            ids = np.concatenate(texts)
-            parts, counts = self._counted(lang, ids, hashes)
+            parts, counts = self._counted(lang, np.concatenate(texts), hashes)
             phrase = [pc.take(words, pa.array(p)) for p in parts]
-            phrase = phrase[0] if self.k == 1 else pc.binary_join_element_wise(*phrase, pa.scalar(b" ", pa.binary()))
-            phrase = phrase.cast(pa.string())
             if self.k == 1:
-                phrase = pa.concat_arrays([phrase, pa.nulls(1, pa.string())])
-                counts = np.append(counts, counts.sum())
+                yield lang, phrase[0], counts, None
+                continue
+            whole = hashes[parts[0]]
+            for p in parts[1:]:
+                whole = _mixed(whole, hashes[p])
+            yield lang, pc.binary_join_element_wise(*phrase, pa.scalar(b" ", pa.binary())), counts, whole
+        self.clear()
+
+    def rows(self):
+        """Record batches of ``SCHEMA``; a row without phrase counts all words of a language."""
+        for lang, phrase, counts, _ in self.counted():
+            phrase = pa.concat_arrays([phrase.cast(pa.string()), pa.nulls(1, pa.string())])
+            counts = np.append(counts, counts.sum())
             for at in range(0, len(counts), 100_000):
                 n = min(100_000, len(counts) - at)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), phrase.slice(at, n), pa.array(counts[at : at + n])], names=["lang", "phrase", "f"])
-        self.clear()
+
+    def bundles(self, buckets: int):
+        """Record batches of bucket, lang and bundle."""
+        for lang, phrase, counts, whole in self.counted():
+            bucket = (whole >> np.uint64(7)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            found, starts = np.unique(bucket[order], return_index=True)
+            ends = np.append(starts[1:], len(order))
+            phrase, counts = pc.take(phrase, pa.array(order)), counts[order]
+            for some in range(0, len(found), 64):
+                packed = [pack(phrase.slice(a, b - a), counts[a:b]) for a, b in zip(starts[some : some + 64], ends[some : some + 64], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(found[some : some + 64].astype(np.int64)), pa.array([lang] * len(packed), pa.string()), pa.array(packed, pa.binary())], names=["bucket", "lang", "bundle"])
 
     def _counted(self, lang: str, ids: np.ndarray, hashes: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
         """The word numbers of the distinct phrases, a list for each of their places, and their counts."""
@@ -121,49 +144,116 @@ class Counter:
             counts[0] = 0
             found = np.flatnonzero(counts)
             return [found], counts[found]
-        seed = np.uint64(word_hash(lang.encode("utf-8")))
-        # whether a frequent phrase of k - 1 words begins at each place
-        h = _mixed(hashes, seed)  # by word, not by place
+        h = _mixed(hashes, np.uint64(word_hash(lang.encode("utf-8"))))  # by word, not by place
         if self.k == 2:
             frequent = _has(self.known, h)
             frequent[0] = False
             begins = frequent[ids]
-        else:
-            inside = (ids[:-1] > 0) & (ids[1:] > 0)
-            begins = np.zeros(len(ids), bool)
-            at = np.flatnonzero(inside)
+        else:  # whether a frequent phrase of k - 1 words begins at each place
+            begins, at = np.zeros(len(ids), bool), np.flatnonzero(ids > 0)
             whole = h[ids[at]]
             for j in range(1, self.k - 1):
-                keep = ids[np.minimum(at + j, len(ids) - 1)] > 0
+                keep = (at + j < len(ids)) & (ids[np.minimum(at + j, len(ids) - 1)] > 0)
                 at, whole = at[keep], whole[keep]
                 whole = _mixed(whole, hashes[ids[at + j]])
             begins[at[_has(self.known, whole)]] = True
         at = np.flatnonzero(begins[:-1] & begins[1:])
-        base, keys = len(hashes), ids[at]
-        for j in range(1, self.k):
-            if j > 1:  # numbers of distinct beginnings are small again
-                _, keys = np.unique(keys, return_inverse=True)
-            keys = keys * base + ids[at + j]
-        _, first, counts = np.unique(keys, return_index=True, return_counts=True)
-        return [ids[at[first] + j] for j in range(self.k)], counts
-
-
-def count_phrases(docs: DataFrame, k: int, known: np.ndarray | None = None) -> DataFrame:
-    """(lang, phrase, f) of phrases of ``k`` words of (lang, text); in the first pass a null phrase counts all words of a language."""
-    held = docs.sparkSession.sparkContext.broadcast(known) if known is not None else None
+        # words of these phrases, numbered anew from 0: few, so that a phrase fits in a number
+        places = np.zeros(len(hashes), np.int64)
+        for j in range(self.k):
+            places[ids[at + j]] = 1
+        used = np.flatnonzero(places)
+        places[used] = np.arange(len(used))
+        return _distinct([places[ids[at + j]] for j in range(self.k)], used)
+
+
+def _distinct(columns: list[np.ndarray], used: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of ``columns`` (places in ``used``), as the words that ``used`` has there, and how often each occurs."""
+    base, keys = max(1, len(used)), columns[0]
+    if base ** len(columns) < 1 << 62:  # a whole phrase is one number
+        for column in columns[1:]:
+            keys = keys * base + column
+        keys, counts = np.unique(keys, return_counts=True)
+        out = []
+        for _ in columns:
+            out.append(used[keys % base])
+            keys = keys // base
+        return out[::-1], counts
+    for column in columns[1:]:
+        _, keys = np.unique(keys, return_inverse=True)
+        keys = keys * base + column
+    _, first, counts = np.unique(keys, return_index=True, return_counts=True)
+    return [used[column[first]] for column in columns], counts
+
+
+def pack(phrases: pa.Array, counts: np.ndarray) -> bytes:
+    """Phrases (bytes) and counts, compressed."""
+    lengths = pc.binary_length(phrases).to_numpy()
+    offsets = np.frombuffer(phrases.buffers()[1], np.int32)[phrases.offset : phrases.offset + len(phrases) + 1]
+    data = memoryview(phrases.buffers()[2])[offsets[0] : offsets[-1]] if len(phrases) else b""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.int64(len(counts)).tobytes(), counts.astype(np.int64).tobytes(), lengths.astype(np.int32).tobytes(), data]))
+
+
+def unpack(bundle: bytes) -> tuple[pa.Array, np.ndarray]:
+    said = zstandard.ZstdDecompressor().decompress(bundle)
+    n = int(np.frombuffer(said, np.int64, 1)[0])
+    counts, lengths = np.frombuffer(said, np.int64, n, 8), np.frombuffer(said, np.int32, n, 8 + 8 * n)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(said[8 + 12 * n :])]), counts
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(lang, phrase, f) of the words of (lang, text); a null phrase counts all words of a language."""
 
     def run(batches):
-        counter = Counter(k, held.value if held is not None else None)
+        counter = Counter(1, None)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 counter.add(lang, text.as_py())
                 if counter.full():
-                    yield from counter.batches()
-        yield from counter.batches()
+                    yield from counter.rows()
+        yield from counter.rows()
 
     return docs.mapInArrow(run, SCHEMA).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
+def count_phrases(docs: DataFrame, k: int, known: np.ndarray, min_count: int, words: int) -> DataFrame:
+    """(lang, phrase, f) of phrases of ``k`` words of (lang, text) that occur ``min_count`` times; there are ``words`` words in all."""
+    held = docs.sparkSession.sparkContext.broadcast(known)
+    buckets = partitions_for(words, BUCKET_WORDS)
+
+    def emit(batches):
+        counter = Counter(k, held.value)
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                counter.add(lang, text.as_py())
+                if counter.full():
+                    yield from counter.bundles(buckets)
+        yield from counter.bundles(buckets)
+
+    def summed(bundles: dict[str, list]):
+        for lang, packed in bundles.items():
+            parts = [unpack(b) for b in packed]
+            rows = pa.table({"phrase": pa.chunked_array([p for p, _ in parts]), "f": np.concatenate([c for _, c in parts])})
+            rows = rows.group_by("phrase").aggregate([("f", "sum")])
+            rows = rows.filter(pc.greater_equal(rows["f_sum"], min_count))
+            langs = pa.array([lang] * len(rows), pa.string())
+            yield from pa.table({"lang": langs, "phrase": rows["phrase"].cast(pa.string()), "f": rows["f_sum"].cast(pa.int64())}).to_batches(100_000)
+
+    def add_up(batches):
+        now, bundles = None, defaultdict(list)
+        for batch in batches:
+            for bucket, lang, bundle in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if bucket != now:
+                    yield from summed(bundles)
+                    now, bundles = bucket, defaultdict(list)
+                bundles[lang].append(bundle)
+        yield from summed(bundles)
+
+    packed = docs.mapInArrow(emit, "bucket long, lang string, bundle binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return packed.mapInArrow(add_up, SCHEMA)
+
+
 def bit_set(level: DataFrame) -> np.ndarray:
     """The phrases of a level as bits; at most ``MOST_BITS`` of them come to the driver."""
     n = level.count()
@@ -205,12 +295,12 @@ def part(first: int, last: int) -> Column:
     return F.array_join(F.slice("words", first, last - first + 1), " ")
 
 
-def score_cuts(levels: list[DataFrame], k: int) -> DataFrame:
-    """(lang, phrase, a, l, r, score) of level ``k`` by the cut of the lowest score, the first of equals.
+def score_cuts(rows: DataFrame, levels: list[DataFrame], k: int) -> DataFrame:
+    """(lang, phrase, a, l, r, score) of ``rows`` of level ``k`` by the cut of the lowest score, the first of equals.
 
     Products are decimals of 38 digits, exact up to counts of 10^16.
     """
-    rows = levels[k - 1].select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ", -1).alias("words"))
+    rows = rows.select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ", -1).alias("words"))
     for j in range(1, k):
         rows = rows.withColumn(f"left{j}", part(1, j)).withColumn(f"right{j}", part(j + 1, k))
     for j in range(1, k):
@@ -228,7 +318,7 @@ def score_cuts(levels: list[DataFrame], k: int) -> DataFrame:
     return rows.select("lang", "phrase", "a", best.alias("best")).select("lang", "phrase", "a", "best.l", "best.r", "best.score")
 
 
-def _uncovered(levels: list[DataFrame], k: int, covered: int) -> DataFrame:
+def _covered(levels: list[DataFrame], k: int, covered: int) -> DataFrame:
     """(lang, phrase) of level ``k`` that some longer candidate covers: it has at least ``covered`` hundredths of the count."""
     longer = []
     for m in range(k + 1, len(levels) + 1):
@@ -254,16 +344,18 @@ def collocations(
     two are ignored.
     """
     rows = small_batches(docs).select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    first = cut(count_phrases(rows, 1).where((F.col("f") >= min_count) | F.col("phrase").isNull()))
+    first = cut(count_words(rows).where((F.col("f") >= min_count) | F.col("phrase").isNull()))
     totals = first.where(F.col("phrase").isNull()).select("lang", F.col("f").alias("n"))
+    every = totals.agg(F.sum("n")).first()[0] or 0
     levels = [first.where(F.col("phrase").isNotNull())]
     for k in range(2, words + 1):
-        levels.append(cut(count_phrases(rows, k, bit_set(levels[-1])).where(F.col("f") >= min_count)))
+        levels.append(cut(count_phrases(rows, k, bit_set(levels[-1]), min_count, every)))
     found = None
     for k in range(2, words + 1):
-        scored = score_cuts(levels, k)
+        candidates = levels[k - 1]
         if k < words:
-            scored = scored.join(_uncovered(levels, k, covered), ["lang", "phrase"], "left_anti")
+            candidates = candidates.join(_covered(levels, k, covered), ["lang", "phrase"], "left_anti")
+        scored = score_cuts(candidates, levels, k)
         found = scored if found is None else found.unionByName(scored)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     ranked = F.row_number().over(Window.partitionBy("lang").orderBy(*order))

@@ -54,6 +54,7 @@ def test_flushes_and_full_bit_sets_change_nothing(spark, monkeypatch):
     rows = odd_rows(8, 200)
     monkeypatch.setattr(C, "BROADCAST_KEYS", 0)
     monkeypatch.setattr(C, "MOST_BITS", 64)
+    monkeypatch.setattr(C, "BUCKET_WORDS", 100)
     known = np.full(1 << 10, np.uint64(2**64 - 1))  # everything seems frequent
     monkeypatch.setattr(C, "bit_set", lambda level: known)
     got = C.collocations(spark.createDataFrame(rows, "lang string, text string"), top=None).collect()
@@ -67,18 +68,29 @@ def test_small_flushes():
         for lang, text in rows:
             counter.add(lang, text.encode())
             if counter.size >= limit:
-                for b in counter.batches():
+                for b in counter.rows():
                     total.update({(r["lang"], r["phrase"]): r["f"] for r in b.to_pylist()} if limit > 50 else Counter({(r["lang"], r["phrase"]): r["f"] for r in b.to_pylist()}))
-        for b in counter.batches():
+        for b in counter.rows():
             total.update(Counter({(r["lang"], r["phrase"]): r["f"] for r in b.to_pylist()}))
         counts[limit] = total
     assert counts[50] == counts[10**9]
 
 
+def test_distinct_phrases_of_few_and_of_many_words():
+    rng = np.random.default_rng(2)
+    for words in (3, 50, 3_000_000):
+        used = np.sort(rng.choice(10 * words, words, replace=False))
+        columns = list(rng.choice(rng.integers(0, words, 7), (3, 500)))
+        parts, counts = C._distinct(columns, used)
+        want = Counter(zip(*(used[c].tolist() for c in columns)))
+        assert dict(zip(zip(*(p.tolist() for p in parts)), counts.tolist())) == want
+    assert [len(p) for p in C._distinct([np.empty(0, np.int64)] * 2, np.empty(0, np.int64))[0]] == [0, 0]
+
+
 def test_only_phrases_of_frequent_parts_are_emitted(spark):
     level = spark.createDataFrame([("en", "a"), ("en", "b"), ("de", "c")], "lang string, phrase string")
     rows = spark.createDataFrame([("en", "a b c a, b a b"), ("de", "a b c c")], "lang string, text string")
-    got = {(r.lang, r.phrase, r.f) for r in C.count_phrases(rows, 2, C.bit_set(level)).collect()}
+    got = {(r.lang, r.phrase, r.f) for r in C.count_phrases(rows, 2, C.bit_set(level), 1, 20).collect()}
     assert got == {("en", "a b", 2), ("en", "b a", 1), ("de", "c c", 1)}
 
 
@@ -86,7 +98,7 @@ def test_large_counts_stay_exact(spark):
     big = 9_000_000_000_000_001
     one = spark.createDataFrame([("x", "a", big), ("x", "b", big - 2)], "lang string, phrase string, f long")
     two = spark.createDataFrame([("x", "a b", big - 4)], "lang string, phrase string, f long")
-    got = C.score_cuts([one, two], 2).first()
+    got = C.score_cuts(two, [one, two], 2).first()
     assert (got.l, got.r, got.score) == (big, big - 2, 1000000 * (big - 4) ** 2 // (big * (big - 2)))
 
 
