@@ -11,7 +11,7 @@ a bucket's bundles are added up in Arrow. There are so many buckets that each ha
 ``BUCKET_WORDS`` phrases.
 
 The cuts of a candidate are scored from the tables of the levels: every part of a frequent phrase
-is frequent, so its count is there.
+is frequent, so its count is there, and a level's rows carry the counts of their beginnings and ends.
 """
 
 from __future__ import annotations
@@ -281,41 +281,50 @@ def bit_set(level: DataFrame) -> np.ndarray:
     return out
 
 
-def _with_counts(rows: DataFrame, level: DataFrame, phrase: str, name: str) -> DataFrame:
-    """``rows`` (lang, ...) with the count of the phrase in column ``phrase`` as ``name``."""
-    level = level.select("lang", F.col("phrase").alias(phrase), F.col("f").alias(name))
-    if level.count() <= BROADCAST_KEYS:
-        return rows.join(F.broadcast(level), ["lang", phrase])
-    fan = rows.groupBy("lang", phrase).agg(F.count(F.lit(1)).alias("fan"))
-    return join_counted(rows, level.join(fan, ["lang", phrase]), ["lang", phrase], "fan").drop("fan")
-
-
 def part(first: int, last: int) -> Column:
     """Words ``first`` to ``last`` (from 1) of a phrase."""
     return F.array_join(F.slice("words", first, last - first + 1), " ")
 
 
-def score_cuts(rows: DataFrame, levels: list[DataFrame], k: int) -> DataFrame:
+def _with_parts(rows: DataFrame, shorter: DataFrame, end: str, counts: str) -> DataFrame:
+    """``rows`` with ``counts`` of the phrase in column ``end``, from the level below."""
+    shorter = shorter.select("lang", F.col("phrase").alias(end), counts)
+    if shorter.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(shorter), ["lang", end])
+    fan = rows.groupBy("lang", end).agg(F.count(F.lit(1)).alias("fan"))
+    return join_counted(rows, shorter.join(fan, ["lang", end]), ["lang", end], "fan").drop("fan")
+
+
+def with_parts(counts: DataFrame, shorter: DataFrame | None, k: int) -> DataFrame:
+    """A level's (lang, phrase, f) with ``starts`` and ``ends``: the counts of its first and last 1 to ``k`` words.
+
+    Its overlapping parts of k-1 words have them already, so two joins with the level ``shorter``
+    are enough for any number of cuts.
+    """
+    own = F.array("f")
+    if shorter is None:
+        return counts.select("lang", "phrase", "f", own.alias("starts"), own.alias("ends"))
+    rows = counts.withColumn("words", F.split("phrase", " ", -1)).withColumns({"head": part(1, k - 1), "tail": part(2, k)}).drop("words")
+    rows = _with_parts(_with_parts(rows, shorter, "head", "starts"), shorter, "tail", "ends")
+    return rows.select("lang", "phrase", "f", F.concat("starts", own).alias("starts"), F.concat("ends", own).alias("ends"))
+
+
+def score_cuts(rows: DataFrame, k: int) -> DataFrame:
     """(lang, phrase, a, l, r, score) of ``rows`` of level ``k`` by the cut of the lowest score, the first of equals.
 
     Products are decimals of 38 digits, exact up to counts of 10^16.
     """
-    rows = rows.select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ", -1).alias("words"))
-    for j in range(1, k):
-        rows = rows.withColumn(f"left{j}", part(1, j)).withColumn(f"right{j}", part(j + 1, k))
-    for j in range(1, k):
-        rows = _with_counts(rows, levels[j - 1], f"left{j}", f"l{j}")
-        rows = _with_counts(rows, levels[k - j - 1], f"right{j}", f"r{j}")
 
     def wide(c: str) -> str:
         return f"cast({c} as decimal(19, 0))"
 
     def cut_at(j: int) -> Column:
-        score = F.expr(f"cast(1000000 as decimal(7, 0)) * ({wide('a')} * {wide('a')}) div ({wide(f'l{j}')} * {wide(f'r{j}')})").cast("long")
-        return F.struct(score.alias("score"), F.lit(j).alias("k"), F.col(f"l{j}").alias("l"), F.col(f"r{j}").alias("r"))
+        left, right = f"starts[{j - 1}]", f"ends[{k - j - 1}]"
+        score = F.expr(f"cast(1000000 as decimal(7, 0)) * ({wide('f')} * {wide('f')}) div ({wide(left)} * {wide(right)})").cast("long")
+        return F.struct(score.alias("score"), F.lit(j).alias("k"), F.expr(left).alias("l"), F.expr(right).alias("r"))
 
     best = F.array_min(F.array(*(cut_at(j) for j in range(1, k))))
-    return rows.select("lang", "phrase", "a", best.alias("best")).select("lang", "phrase", "a", "best.l", "best.r", "best.score")
+    return rows.select("lang", "phrase", F.col("f").alias("a"), best.alias("best")).select("lang", "phrase", "a", "best.l", "best.r", "best.score")
 
 
 def _covered(levels: list[DataFrame], k: int, covered: int) -> DataFrame:
@@ -347,15 +356,16 @@ def collocations(
     first = cut(count_words(rows).where((F.col("f") >= min_count) | F.col("phrase").isNull()))
     totals = first.where(F.col("phrase").isNull()).select("lang", F.col("f").alias("n"))
     every = totals.agg(F.sum("n")).first()[0] or 0
-    levels = [first.where(F.col("phrase").isNotNull())]
+    levels = [with_parts(first.where(F.col("phrase").isNotNull()), None, 1)]
     for k in range(2, words + 1):
-        levels.append(cut(count_phrases(rows, k, bit_set(levels[-1]), min_count, every)))
+        counts = cut(count_phrases(rows, k, bit_set(levels[-1]), min_count, every))
+        levels.append(cut(with_parts(counts, levels[-1], k)))
     found = None
     for k in range(2, words + 1):
         candidates = levels[k - 1]
         if k < words:
             candidates = candidates.join(_covered(levels, k, covered), ["lang", "phrase"], "left_anti")
-        scored = score_cuts(candidates, levels, k)
+        scored = score_cuts(candidates, k)
         found = scored if found is None else found.unionByName(scored)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     ranked = F.row_number().over(Window.partitionBy("lang").orderBy(*order))

@@ -98,7 +98,7 @@ def test_large_counts_stay_exact(spark):
     big = 9_000_000_000_000_001
     one = spark.createDataFrame([("x", "a", big), ("x", "b", big - 2)], "lang string, phrase string, f long")
     two = spark.createDataFrame([("x", "a b", big - 4)], "lang string, phrase string, f long")
-    got = C.score_cuts(two, [one, two], 2).first()
+    got = C.score_cuts(C.with_parts(two, C.with_parts(one, None, 1), 2), 2).first()
     assert (got.l, got.r, got.score) == (big, big - 2, 1000000 * (big - 4) ** 2 // (big * (big - 2)))
 
 
