@@ -31,6 +31,20 @@ ZEROS, HUGE = re.compile("&#0+(?=[0-9])"), re.compile("&#[0-9]{8,};?")
 OUTER, INNER, NAMES = 6, 10, 8
 
 
+HTML_TAG, LANG = re.compile(r"<html\b", re.I), re.compile(r"\blang\s*=\s*[\"']?([a-z]+)", re.I)
+
+
+def declared_language(page: str) -> str:
+    """What the first ``lang`` inside an html tag says, empty without one. A part of the page that held none is not read again."""
+    at = 0
+    while m := HTML_TAG.search(page, at):
+        end = page.find(">", m.end())
+        at = len(page) if end < 0 else end
+        if found := LANG.search(page, m.end(), at):
+            return found[1]
+    return ""
+
+
 def unescaped(text: str) -> str:
     """Character references decoded; numbers of any length do no harm."""
     return html.unescape(HUGE.sub("�", ZEROS.sub("&#", text)) if "&#" in text else text)

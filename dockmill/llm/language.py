@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dockmill.llm.common import BROADCAST_KEYS, cut, small_batches, table, url_host, url_path
+from dockmill.llm.html_blocks import declared_language, leaf_blocks
 
 SAMPLE = 300  # distinct labelled texts of each language that fit the text model
 BUCKETS = 1 << 16
-DIGITS = re.compile(rb"[^\x20\x09-\x0d]*[0-9][^\x20\x09-\x0d]*")
+#: A word with a digit, tried only where a word begins, so that a word of any length is read once.
+DIGITS = re.compile(rb"(?<![^\x20\x09-\x0d])[^\x20\x09-\x0d0-9]*+[0-9][^\x20\x09-\x0d]*+")
 UNKNOWN = "und"
 #: Log-likelihood counts in full for short texts and at most as this many trigrams for long ones.
 TEXT_WEIGHT = 256.0
@@ -241,21 +243,31 @@ def keep_known_language(docs: DataFrame, text_col: str = "text", lang_col: str =
     return rows.join(gone, "__rid", "left_anti").select(*docs.columns)
 
 
+def page_texts(pages: DataFrame) -> DataFrame:
+    """page_id, text (that of all blocks), declared (what the markup says), host and address of (page_id, html, host, address); null html counts as empty."""
+
+    def run(batches):
+        for batch in batches:
+            pages_in = [x.as_py() or "" for x in batch.column(1)]
+            texts = pa.array(["\n".join(text for _, text, _ in leaf_blocks(x)) for x in pages_in], pa.string())
+            declared = pa.array([declared_language(x) for x in pages_in], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, declared, batch.column(2), batch.column(3)], names=["page_id", "text", "declared", "host", "address"])
+
+    return small_batches(pages).select("page_id", "html", "host", "address").mapInArrow(run, "page_id long, text string, declared string, host string, address string")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` (doc_id) and of ``pages`` (page_id): its language, confidence and whether it is accepted.
 
-    ``lang`` of ``documents`` fits the text model and is no evidence; pages declare by their markup. Odd rows as in ``identify``.
+    ``lang`` of ``documents`` fits the text model and is no evidence; pages declare by their markup.
+    Odd rows as in ``identify``; pages of any length and however broken are read in linear time.
     """
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     none = F.lit(None)
-    plain = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
     rows = docs.select("doc_id", none.cast("long").alias("page_id"), "text", none.cast("string").alias("declared"), F.col("source").alias("host"), none.cast("string").alias("address"))
-    rows = rows.unionByName(
-        pages.select(
-            none.cast("long").alias("doc_id"), "page_id", plain.alias("text"), F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1).alias("declared"),
-            url_host(F.col("url")).alias("host"), F.regexp_extract(url_path(F.col("url")), r"^/([A-Za-z]{2})(/|$)", 1).alias("address"),
-        )
-    )
+    address = F.regexp_extract(url_path(F.col("url")), r"^/([A-Za-z]{2})(/|$)", 1)
+    read = page_texts(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"), url_host(F.col("url")).alias("host"), address.alias("address")))
+    rows = rows.unionByName(read.withColumn("doc_id", none.cast("long")))
     carry = ["doc_id", "page_id", "declared", "host"]
     found = identify(rows, fit(docs), text=F.col("text"), declared=F.col("declared"), host=F.col("host"), address=F.col("address"), carry=carry)
     return found.select("doc_id", "page_id", F.col("__language").alias("language"), F.round("__confidence", 6).alias("confidence"), accepted().alias("accepted"), "declared", "host")
