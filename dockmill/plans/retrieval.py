@@ -8,10 +8,10 @@ from dockmill.operators import retrieval as s
 from dockmill.sources.cases import table
 
 QUERIES, ORACLE_SQL = {}, {}
-ASKED = "vec_id < 20"  # the feature is search from a few given anchors
+EVERY = "vec_id % 20 = 0"  # searches that grow with the table
 KNN_SQL = """knn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM (
   SELECT q.vec_id AS query, v.vec_id AS doc, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))), 6) AS score
-  FROM embeddings v JOIN embeddings q ON q.vec_id < 20 AND q.vec_id <> v.vec_id))"""
+  FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id))"""
 BM25_SQL = """words AS (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS t FROM documents), w AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM words),
 asked AS (SELECT item_id AS query, unnest(list_slice(list_distinct_in_order, 1, 16)) AS term FROM (SELECT item_id, [x FOR x, i IN ts IF list_position(ts, x) = i] AS list_distinct_in_order FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS ts FROM benchmark))),
 p AS (SELECT doc, len, term, count(*) AS tf FROM (SELECT doc, len(t) AS len, unnest(t) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
@@ -29,7 +29,7 @@ def query(sql: str):
 
 def knn(spark, d, k):
     vectors = table(spark, d, "embeddings")
-    return s.exact_neighbours(vectors, vectors.where(ASKED), k)
+    return s.exact_neighbours(vectors, vectors.where(EVERY), k)
 
 
 @query(f"WITH {KNN_SQL} SELECT query, doc, score, CAST(rank AS INTEGER) AS rank FROM knn WHERE rank <= 10")
@@ -37,7 +37,7 @@ def knn_cosine(spark, d):
     return knn(spark, d, 10)
 
 
-@query(f"WITH {KNN_SQL} SELECT query, doc, round(score, 4) AS score, label FROM knn JOIN embeddings ON doc = vec_id WHERE rank <= 5 AND query = 3")
+@query(f"WITH {KNN_SQL.replace("q.vec_id % 20 = 0", "q.vec_id = 3")} SELECT query, doc, round(score, 4) AS score, label FROM knn JOIN embeddings ON doc = vec_id WHERE rank <= 5")
 def similar_to_anchor(spark, d):
     vectors = table(spark, d, "embeddings")
     found = s.exact_neighbours(vectors, vectors.where("vec_id = 3"), 5)
@@ -67,53 +67,33 @@ def rrf_fusion(spark, d):
     return s.fuse([(a, 0.5), (b, 0.5)], 10)
 
 
-@query(f"""WITH {KNN_SQL}, rel AS (SELECT q.vec_id AS query, v.vec_id AS doc FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id < 20),
+@query(f"""WITH {KNN_SQL}, rel AS (SELECT q.vec_id AS query, v.vec_id AS doc FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
 h AS (SELECT query, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS first FROM knn JOIN rel USING (query, doc) WHERE rank <= 10 GROUP BY 1), n AS (SELECT query, count(*) AS relevant FROM rel GROUP BY 1)
 SELECT query, relevant, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / relevant, 6) AS recall, round(coalesce(hits, 0) / 10, 6) AS precision, round(coalesce(dcg, 0.0) / (SELECT sum(1 / log2(i + 1)) FROM generate_series(1, least(relevant, 10)) t(i)), 6) AS ndcg, round(coalesce(1 / first, 0.0), 6) AS rr FROM n LEFT JOIN h USING (query)""")
 def retrieval_metrics(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "label")
-    relevant = v.where(ASKED).select(F.col("vec_id").alias("query"), "label").join(v, "label").where("query <> vec_id").select("query", F.col("vec_id").alias("doc"))
+    relevant = v.where(EVERY).select(F.col("vec_id").alias("query"), "label").join(v, "label").where("query <> vec_id").select("query", F.col("vec_id").alias("doc"))
     return s.retrieval_measures(knn(spark, d, 10), relevant, 10)
 
 
-EVERY = "vec_id % 20 = 0"  # searches that grow with the table
-KNN_EVERY_SQL = KNN_SQL.replace("q.vec_id < 20", "q.vec_id % 20 = 0")
 BM25_EVERY_SQL = BM25_SQL.replace("FROM benchmark", "FROM (SELECT doc_id AS item_id, text FROM documents WHERE doc_id % 20 = 0)")
 #: The semantic list of rows and the lexical list of the documents of the same ids, without the row that asks.
-LISTS_SQL = f"""WITH {KNN_EVERY_SQL}, {BM25_EVERY_SQL}, a AS (SELECT query, doc, rank FROM knn WHERE rank <= 30),
+LISTS_SQL = f"""WITH {KNN_SQL}, {BM25_EVERY_SQL}, a AS (SELECT query, doc, rank FROM knn WHERE rank <= 30),
 b AS (SELECT * FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm WHERE query <> doc) WHERE rank <= 30)"""
 
 
-def knn_every(spark, d, k):
-    vectors = table(spark, d, "embeddings")
-    return s.exact_neighbours(vectors, vectors.where(EVERY), k)
-
-
 def lexical_every(spark, d, k):
     docs = table(spark, d, "documents")
-    found = s.bm25(docs, docs.where("doc_id % 20 = 0"), k + 1, id_col="doc_id", text_col="text", query_id="doc_id", query_text="text")
-    return s.ranked(found.where("query <> doc").drop("rank"), k)
-
-
-@query(f"WITH {KNN_EVERY_SQL} SELECT query, doc, score, CAST(rank AS INTEGER) AS rank FROM knn WHERE rank <= 10")
-def knn_cosine_every(spark, d):
-    return knn_every(spark, d, 10)
+    return s.bm25(docs, docs.where("doc_id % 20 = 0"), k, id_col="doc_id", text_col="text", query_id="doc_id", query_text="text", exclude_self=True)
 
 
 @query(f"""{LISTS_SQL}, f AS (SELECT query, doc, round(coalesce(0.65 / (60 + a.rank), 0) + coalesce(0.35 / (60 + b.rank), 0), 8) AS score FROM a FULL JOIN b USING (query, doc)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM f) SELECT query, doc, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def hybrid_full_outer(spark, d):
-    return s.fuse_two(knn_every(spark, d, 30), lexical_every(spark, d, 30), 10)
+    return s.fuse_two(knn(spark, d, 30), lexical_every(spark, d, 30), 10)
 
 
 @query(f"""{LISTS_SQL}, f AS (SELECT query, doc, round(sum(x), 8) AS score FROM (SELECT query, doc, CAST(0.5 AS DOUBLE) / (60 + rank) AS x FROM a UNION ALL SELECT query, doc, CAST(0.5 AS DOUBLE) / (60 + rank) FROM b) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM f) SELECT query, doc, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def hybrid_fusion(spark, d):
-    return s.fuse([(knn_every(spark, d, 30), 0.5), (lexical_every(spark, d, 30), 0.5)], 10)
-
-
-@query(ORACLE_SQL["retrieval_metrics"].replace("q.vec_id < 20", "q.vec_id % 20 = 0"))
-def retrieval_metrics_every(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", "label")
-    relevant = v.where(EVERY).select(F.col("vec_id").alias("query"), "label").join(v, "label").where("query <> vec_id").select("query", F.col("vec_id").alias("doc"))
-    return s.retrieval_measures(knn_every(spark, d, 10), relevant, 10)
+    return s.fuse([(knn(spark, d, 30), 0.5), (lexical_every(spark, d, 30), 0.5)], 10)

@@ -26,6 +26,6 @@ def test_blocks_equal_brute_force(spark):
 def test_queries_grow_with_the_table(spark):
     from dockmill.plans import retrieval as plans
 
-    rows = plans.QUERIES["knn_cosine_every"](spark, "/root/testdata/sf0.01").select("query").distinct().collect()
+    rows = plans.QUERIES["knn_cosine"](spark, "/root/testdata/sf0.01").select("query").distinct().collect()
     ids = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("vec_id % 20 = 0").count()
     assert len(rows) == ids > 20
