@@ -28,12 +28,12 @@ DATES = [
     r"(?i)(?:Decision date|Judgment date|Date)[:\s]+(\d{1,2}\s+\w+\s+\d{4})",
     "(?i)" + DAY,
 ]
-CATCHWORDS = r"(?is)CATCHWORDS[:\s]*\n?(.*?)(?=\n\s*\n|\nLEGISLATION|\nCASES(?:\s+CITED)?|\nORDER)"
+CATCHWORDS = "(?i)CATCHWORDS"
+CATCHWORDS_END = r"\n\s*\n|\nLEGISLATION|\nCASES(?:\s+CITED)?|\nORDER"
+JUDGES = [r"(?im)^(?:BEFORE|JUDGE|JUSTICE|TRIBUNAL MEMBER)[:\s]+([^\n]+)", r"(?i)(?:Before|Coram)[:\s]+([^\n]+)"]
 CITATION = r"\[\d{4}\]\s+(?:AATA|ARTA|FCA|FCCA|FMCA|HCA|FedCFamC2G|RRTA|MRTA)\s+\d+"
-OUTCOMES = [
-    r"(?is)(?:DECISION|ORDER|ORDERS|THE COURT ORDERS)[:\s]*\n?(?:.*?)(?:\n\s*\n)",
-    r"(?i)(?:The Tribunal|The Court)\s+(?:affirms|remits|sets aside|dismisses|allows|refuses|grants)[^\n]*",
-]
+ORDERS = "(?i)DECISION|ORDER|THE COURT ORDERS"
+DECIDED = r"(?i)(?:The Tribunal|The Court)\s+(?:affirms|remits|sets aside|dismisses|allows|refuses|grants)[^\n]*"
 VISA = r"(?i)((?:protection|skilled|partner|student|visitor|bridging|temporary|permanent|subclass\s+\d+)\s*visa)"
 LEGISLATION = [r"(?i)(Migration Act 1958[^.]*)", r"(?i)(Migration Regulations 1994[^.]*)"]
 #: Patterns and how many characters from the beginning they look at; None stands for all.
@@ -52,6 +52,76 @@ STANDARD_OUTCOMES = [
     ("allow", "Allowed"), ("grant", "Granted"), ("refuse", "Refused"), ("withdraw", "Withdrawn"), ("discontinu", "Discontinued"), ("adjourn", "Adjourned"), ("consent", "By consent"),
     ("struck out", "Struck out"), ("strike out", "Struck out"), ("the decision under review is taken to be", "Affirmed"), ("no jurisdiction", "No jurisdiction"), ("does not have jurisdiction", "No jurisdiction"),
 ]
+STANDARD_NATURES = [
+    (r"judicial review", "Judicial review"),
+    (r"merits review", "Merits review"),
+    (r"protection.*visa|refugee.*protection|class xa", "Protection visa"),
+    (r"refugee|well.founded fear|complementary protection|non.refoulement", "Refugee assessment"),
+    (r"cancel", "Visa cancellation"),
+    (r"refus", "Visa refusal"),
+    (r"appeal", "Appeal"),
+    (r"character.*test|s\.?\s*501|section 501", "Character test (s.501)"),
+    (r"detention|habeas|unlawful.*detent", "Detention challenge"),
+    (r"student.*visa", "Student visa application"),
+    (r"partner|spouse|family.*reunion", "Partner/Family visa"),
+    (r"skilled|employer.*nomin|subclass.*(186|187|189|457|482)", "Skilled migration"),
+    (r"bridging.*visa", "Bridging visa"),
+    (r"citizenship|naturalisation", "Citizenship"),
+    (r"migration.*review|migration.*application|visa.*application.*review", "Migration review"),
+    (r"administrat.*review", "Administrative review"),
+    (r"^migration\b", "Migration (general)"),
+]
+STANDARD_VISAS = [
+    (r"protection", "Protection visa"),
+    (r"refugee", "Protection visa"),
+    (r"class xa", "Protection visa"),
+    (r"subclass 866", "Protection visa"),
+    (r"subclass 785", "Protection visa"),
+    (r"subclass 790", "Protection visa"),
+    (r"student", "Student visa"),
+    (r"subclass 500\b", "Student visa"),
+    (r"subclass 57[0-9]", "Student visa"),
+    (r"subclass 457", "Temporary Work (Skilled) visa"),
+    (r"subclass 482", "Temporary Skill Shortage visa"),
+    (r"subclass 186", "Employer Nomination Scheme visa"),
+    (r"subclass 187", "Regional Sponsored Migration visa"),
+    (r"subclass 189", "Skilled Independent visa"),
+    (r"subclass 190", "Skilled Nominated visa"),
+    (r"subclass 491", "Skilled Work Regional visa"),
+    (r"skilled", "Skilled visa"),
+    (r"partner", "Partner visa"),
+    (r"spouse", "Partner visa"),
+    (r"subclass 309", "Partner visa"),
+    (r"subclass 820", "Partner visa"),
+    (r"subclass 801", "Partner visa"),
+    (r"subclass 300", "Prospective Marriage visa"),
+    (r"subclass 101", "Child visa"),
+    (r"subclass 117", "Orphan Relative visa"),
+    (r"subclass 143", "Contributory Parent visa"),
+    (r"subclass 802", "Child visa"),
+    (r"subclass 836", "Contributory Parent visa"),
+    (r"visitor", "Visitor visa"),
+    (r"subclass 600", "Visitor visa"),
+    (r"subclass 601", "Electronic Travel Authority"),
+    (r"class fa", "Visitor visa"),
+    (r"bridging", "Bridging visa"),
+    (r"subclass 050", "Bridging visa"),
+    (r"subclass 051", "Bridging visa"),
+    (r"subclass 408", "Temporary Activity visa"),
+    (r"subclass 417", "Working Holiday visa"),
+    (r"subclass 462", "Work and Holiday visa"),
+    (r"subclass 485", "Temporary Graduate visa"),
+    (r"subclass 444", "Special Category visa (NZ)"),
+    (r"class tu", "Temporary visa"),
+    (r"citizenship", "Citizenship"),
+    (r"character.*cancel|s\.?\s*501|section 501", "Character cancellation (s.501)"),
+    (r"character", "Character cancellation (s.501)"),
+    (r"judicial review \(migration\)", "Judicial review (migration)"),
+    (r"permanent", "Permanent visa"),
+    (r"temporary", "Temporary visa"),
+    (r"migration \(general\)", "Migration (general)"),
+    (r"^migration$", "Migration (general)"),
+]
 NATURES = [
     (r"judicial review|jurisdictional error|unreasonableness", "Judicial review"),
     (r"merits review|tribunal.*affirm|tribunal.*set aside", "Merits review"),
@@ -92,13 +162,32 @@ CONCEPTS = [
 # End of fixed values.
 
 
+#: What str.strip() takes off; Spark's trim takes blanks alone.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at both ends, in one pass."""
+    return F.btrim(c, F.lit(WHITE))
+
+
+def body_of(c: Column) -> Column:
+    """The text with blanks for NUL signs; null counts as empty."""
+    return F.replace(text(c), F.lit("\x00"), F.lit(" "))
+
+
 def first_match(c: Column, patterns: list[str], group: int = 1) -> Column:
-    """The trimmed group of the first pattern that occurs."""
-    said = text(c)
-    found = [F.when(said.rlike(p), F.trim(F.regexp_extract(said, p, group))) for p in patterns]
+    """The group of the first pattern that occurs, without white space around it."""
+    said = body_of(c)
+    found = [F.when(said.rlike(p), stripped(F.regexp_extract(said, p, group))) for p in patterns]
     return F.coalesce(*found, F.lit(""))
 
 
+def behind(said: Column, heading: str) -> Column:
+    """What follows the first heading, null without one. Blocks are looked for there once: where the first heading's has no end, no later one's has."""
+    return F.get(F.split(said, heading, 2), F.lit(1))
+
+
 def first_label(c: Column, rules: list[tuple[str, str]], otherwise: Column) -> Column:
     """The label of the first rule whose pattern occurs."""
     return reduce(lambda rest, r: F.when(c.rlike(r[0]), r[1]).otherwise(rest), reversed(rules), otherwise)
@@ -128,15 +217,28 @@ def hearing_date(c: Column) -> Column:
 
 
 def catchwords(c: Column) -> Column:
-    return F.substring(first_match(c, [CATCHWORDS]), 1, 500)
+    """What follows the heading up to a blank line or the next heading, cut to 500 signs."""
+    block = F.regexp_extract(behind(body_of(c), CATCHWORDS), rf"(?is)^[:\s]*+(.*?)(?:{CATCHWORDS_END})", 1)
+    return F.coalesce(F.substring(stripped(block), 1, 500), F.lit(""))
+
+
+def judges(c: Column) -> Column:
+    """The rest of the line behind a label that begins a line, else behind one anywhere."""
+    return first_match(c, JUDGES)
 
 
 def citation(c: Column) -> Column:
-    return F.regexp_extract(text(c), CITATION, 0)
+    return F.regexp_extract(body_of(c), CITATION, 0)
 
 
 def outcome_text(c: Column) -> Column:
-    return F.substring(first_match(c, OUTCOMES, 0), 1, 300)
+    """The first block of orders with its heading up to a blank line, else the sentence that decides; cut to 300 signs."""
+    said = body_of(c)
+    heading, rest = F.regexp_extract(said, ORDERS, 0), behind(said, ORDERS)
+    block = F.regexp_extract(rest, r"(?s)^[:\s]*+.*?\n\s*\n", 0)
+    signs = F.regexp_extract(rest, r"^[:\s]*", 0)  # a blank line right behind the heading may be the only one
+    found = F.when(block != "", F.concat(heading, block)).when(signs.rlike(r"\n\s*\n"), F.concat(heading, signs))
+    return F.substring(F.coalesce(stripped(found), first_match(c, [DECIDED], 0)), 1, 300)
 
 
 def visa_type(c: Column) -> Column:
@@ -159,6 +261,30 @@ def standard_outcome(c: Column) -> Column:
     return F.when((said == "") | (said == "nan"), text(c)).otherwise(label)
 
 
+def _plain(c: Column) -> Column:
+    """Lower case, runs of white space as one blank."""
+    return F.lower(F.regexp_replace(stripped(text(c)), r"\s+", " "))
+
+
+def standard_visa(c: Column) -> Column:
+    """The standard name of a visa; one of an unknown subclass is named by its number, any other text stays."""
+    said = _plain(c)
+    number = F.regexp_extract(said, r"^subclass (\d+)", 1)
+    rest = F.when(number != "", F.concat(F.lit("Subclass "), number, F.lit(" visa"))).when(said == "class of visa", "Migration (general)").otherwise(stripped(text(c)))
+    return F.when(said.isin("", "nan"), text(c)).otherwise(first_label(said, STANDARD_VISAS, rest))
+
+
+def title_case(c: Column) -> Column:
+    """A capital wherever a letter follows none, all others small."""
+    return F.array_join(F.transform(F.split(F.lower(c), r"(?<!\p{L})(?=\p{L})"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 30))), "")
+
+
+def standard_nature(c: Column) -> Column:
+    """The standard name of a case's nature; an unknown one in title case."""
+    said = _plain(c)
+    return F.when(said.isin("", "nan"), text(c)).otherwise(first_label(said, STANDARD_NATURES, title_case(stripped(text(c)))))
+
+
 def inferred_nature(court: Column, *texts: Column) -> Column:
     """The nature that the texts tell, else the usual one of the court."""
     said = F.lower(F.concat_ws(" ", *(F.nullif(F.nullif(F.trim(text(t)), F.lit("")), F.lit("nan")) for t in texts)))
@@ -179,7 +305,11 @@ def subclass_number(existing: Column, kind: Column, body: Column) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(text(c), p, 1), F.lit("")) for c, p in ((existing, r"(\d{3})"), (kind, r"[sS]ubclass\s+(\d{3})"), (body, r"(?i)subclass\s+(\d{3})"))), F.lit(""))
 
 
-def repaired_year(year: Column, cited: Column) -> Column:
-    """A year of 0 becomes the one in brackets of the citation."""
-    found = F.regexp_extract(text(cited), r"\[(\d{4})\]", 1)
-    return F.when((F.coalesce(year, F.lit(0)) == 0) & (found != ""), found.cast("int")).otherwise(year)
+def repaired_year(year: Column, cited: Column, url: Column | None = None) -> Column:
+    """A year of 0 becomes the one in brackets of the citation; where there is no citation, the one that is a part of the URL's path."""
+    cited = text(cited)
+    sources = [F.when(cited != "", F.regexp_extract(cited, r"\[(\d{4})\]", 1))]
+    if url is not None:
+        sources.append(F.when(cited == "", F.regexp_extract(text(url), r"/(\d{4})/", 1)))
+    found = F.coalesce(*sources, F.lit(""))
+    return F.when((F.coalesce(year, F.lit(0)) == 0) & (found != ""), F.try_to_number(found, F.lit("9999")).cast("int")).otherwise(year)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dockmill.functions.names import with_aliases, with_person_words
+
 
 def by_alias(people: DataFrame, registry: DataFrame, key: str, alias_col: str = "aliases") -> DataFrame:
     """``people`` with ``full_name`` from ``registry`` (alias, full_name, source): sources in order, longest alias first; null if no alias is filed."""
@@ -51,23 +53,22 @@ def registry_search(registry: DataFrame, asked: str, number: str = "number", nam
     return registry.where(hit).withColumn("exact", exact).orderBy(F.desc("exact"), F.desc("n"), number).limit(limit)
 
 
-def similar_surnames(names: DataFrame, share: float = 0.85) -> DataFrame:
-    """(name, leader): each name with the first name, in order, whose surname key is alike.
+def merged_aliases(names: DataFrame, name: str = "name", place: str = "place") -> tuple[DataFrame, DataFrame]:
+    """(alias, canonical) of a list of full names, and (alias, canonical, other): forms that a second person has too.
 
-    Keys are compared where they share the first letter and differ in length as little as the share
-    allows; likeness is 1 - edits / longer length. Empty keys stay alone. A leader is a name that is
-    not alike to an earlier leader by a direct comparison with the first of its letter.
+    Names are taken in the order of ``place``. Names with the same words, titles and letters aside,
+    are one person, under the name of most words, of equals the first. A form belongs to the person
+    who comes first with it; others with that form are conflicts, told with the first of them, and
+    not merged.
     """
-    keys = names.where("surname <> ''").groupBy("surname").agg(F.min("name").alias("first"))
-    a = keys.select(F.col("surname").alias("a"), F.col("first").alias("a_first"), F.substring("surname", 1, 1).alias("letter"))
-    b = keys.select(F.col("surname").alias("b"), F.col("first").alias("b_first"), F.substring("surname", 1, 1).alias("letter"))
-    longer = F.greatest(F.length("a"), F.length("b"))
-    alike = (F.abs(F.length("a") - F.length("b")) <= (1 - share) * longer) & (1 - F.levenshtein("a", "b") / longer >= share)
-    leaders = a.join(b, "letter").where(alike & (F.col("b_first") <= F.col("a_first"))).groupBy(F.col("a").alias("surname")).agg(F.min("b_first").alias("leader"))
-    return names.join(leaders, "surname", "left").select("name", F.coalesce("leader", "name").alias("leader"))
-
-
-def carried(rows: DataFrame, group: str, order: str, heading: str, out: str) -> DataFrame:
-    """``rows`` with the last heading at or before each, in order within its group."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(out, F.last(heading, ignorenulls=True).over(w))
+    rows = with_person_words(with_aliases(names.select(F.col(name).alias("full"), F.col(place).alias("at")), "full"), "full")
+    rows = rows.where(F.size("words") > 0).withColumn("words", F.array_join("words", " "))
+    persons = rows.groupBy("words").agg(F.min_by("full", F.struct((-F.col("n_words")).alias("less"), "at", "full")).alias("canonical"))
+    forms = rows.select("words", "at", F.explode("aliases").alias("alias")).groupBy("alias", "words").agg(F.min("at").alias("at"))
+    order = F.struct("at", "words")
+    owners = forms.groupBy("alias").agg(F.min_by("words", order).alias("words"))
+    seconds = forms.join(owners.withColumnRenamed("words", "owner"), "alias").where("words <> owner").groupBy("alias", "owner").agg(F.min_by("words", order).alias("other"))
+    merged = owners.join(persons, "words").select("alias", "canonical")
+    named = persons.select(F.col("words").alias("other"), F.col("canonical").alias("other_name"))
+    conflicts = seconds.join(persons.withColumnRenamed("words", "owner"), "owner").join(named, "other")
+    return merged, conflicts.select("alias", "canonical", F.col("other_name").alias("other"))

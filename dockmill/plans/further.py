@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dockmill.functions import extraction as e
 from dockmill.operators import analytics as a
+from dockmill.operators import carry
 from dockmill.operators import identity as i
 from dockmill.operators import quality as q
 from dockmill.operators import retrieval as t
@@ -24,61 +24,6 @@ def query(sql: str):
     return add
 
 
-#: Texts of decisions in small, as rows (id, title, court, words, body).
-SAYINGS = [
-    (1, "Smith v Minister for Immigration [2020] FCA 12", "FCA", "jurisdictional error; procedural fairness", "DATE OF JUDGMENT: 3 March 2020\nCATCHWORDS: Visa - refusal\n\nThe Court dismisses the appeal with costs."),
-    (2, "Jones and Minister for Home Affairs", "AATA", "", "The Tribunal affirms the decision. Decided on 14 May 2019 under the Migration Act 1958 (Cth)."),
-    (3, "1606474 (Refugee) [2018] AATA 3", "AATA", "well-founded fear; complementary protection", "Statement made on 9 June 2018 at Sydney. protection visa"),
-    (4, "Lee (Migration) [2019] AATA 2398", "AATA", "student visa refusal", "[2019] AATA 2398 student visa subclass 573"),
-    (5, "Brown; Secretary, Department of Home Affairs", "HCA", "character test s 501", "Remitted to the Tribunal by consent"),
-    (6, "", "ARTA", "", ""),
-]
-SAYINGS_SQL = "s(id, title, court, words, body) AS (VALUES " + ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in SAYINGS) + ")"
-
-
-def sayings(spark):
-    return spark.createDataFrame(SAYINGS, "id int, title string, court string, words string, body string")
-
-
-@query("""SELECT * FROM (VALUES (1, 'Smith', 'Minister for Immigration'), (2, 'Jones', 'Minister for Home Affairs'), (3, '', ''), (4, 'Lee', ''), (5, 'Brown', 'Secretary, Department of Home Affairs'), (6, '', '')) v(id, applicant, respondent)""")
-def title_parties(spark, d):
-    return sayings(spark).select("id", e.parties(F.col("title")).alias("p")).select("id", "p.*")
-
-
-@query("""SELECT * FROM (VALUES (1, '3 March 2020', '3 March 2020'), (2, '14 May 2019', '14 May 2019'), (3, '9 June 2018', '9 June 2018'), (4, '', ''), (5, '', ''), (6, '', '')) v(id, decided, heard)""")
-def decision_dates(spark, d):
-    return sayings(spark).select("id", e.decision_date(F.col("body")).alias("decided"), e.hearing_date(F.col("body")).alias("heard"))
-
-
-@query(f"""WITH {SAYINGS_SQL}
-SELECT id, regexp_extract(body, '\\[\\d{{4}}\\]\\s+(?:AATA|ARTA|FCA|FCCA|FMCA|HCA|FedCFamC2G|RRTA|MRTA)\\s+\\d+', 0) AS citation, trim(regexp_extract(body, '(?i)((?:protection|skilled|partner|student|visitor|bridging|temporary|permanent|subclass\\s+\\d+)\\s*visa)', 1)) AS visa_type,
-regexp_extract(body, '(?i)(Migration Act 1958[^.]*)', 1) AS legislation, trim(regexp_extract(body, '(?i)subclass\\s+(\\d{{3}})', 1)) AS subclass, CASE WHEN id = 1 THEN 'Visa - refusal' ELSE '' END AS catchwords FROM s""")
-def decision_fields(spark, d):
-    body, none = F.col("body"), F.lit("")
-    return sayings(spark).select("id", e.citation(body).alias("citation"), e.visa_type(body).alias("visa_type"), e.legislation(body).alias("legislation"), e.subclass_number(none, none, body).alias("subclass"), e.catchwords(body).alias("catchwords"))
-
-
-@query("""SELECT * FROM (VALUES (1, 'Judicial review', 'Jurisdictional error; Procedural fairness'), (2, 'Merits review', ''), (3, 'Protection visa', 'Well-founded fear of persecution; Complementary protection'), (4, 'Visa refusal', ''),
-(5, 'Visa cancellation', 'Character test (s.501)'), (6, 'Merits review', '')) v(id, nature, concepts)""")
-def inferred_fields(spark, d):
-    return sayings(spark).select("id", e.inferred_nature(F.col("court"), F.col("words"), F.col("title")).alias("nature"), F.array_join(e.inferred_concepts(F.col("words"), F.col("title")), "; ").alias("concepts"))
-
-
-@query("""WITH o(id, said) AS (VALUES (1, 'Appeal DISMISSED with costs'), (2, 'Decision set
-aside'), (3, 'writ of mandamus to issue'), (4, 'appeal incompetent'), (5, 'Orders as below'), (6, 'Something else'), (7, ''))
-SELECT id, CASE id WHEN 1 THEN 'Dismissed' WHEN 2 THEN 'Set aside' WHEN 3 THEN 'Allowed' WHEN 4 THEN 'Dismissed' WHEN 5 THEN 'Unknown' ELSE said END AS label FROM o""")
-def standard_outcomes(spark, d):
-    rows = [(1, "Appeal DISMISSED with costs"), (2, "Decision set\naside"), (3, "writ of mandamus to issue"), (4, "appeal incompetent"), (5, "Orders as below"), (6, "Something else"), (7, "")]
-    return spark.createDataFrame(rows, "id int, said string").select("id", e.standard_outcome(F.col("said")).alias("label"))
-
-
-@query(f"""WITH {CASES_SQL} SELECT case_id, CASE WHEN case_id % 7 = 0 THEN CAST(regexp_extract('[' || year || '] FCA ' || case_id, '\\[(\\d{{4}})\\]', 1) AS INTEGER) ELSE year END AS year FROM cases""")
-def repaired_years(spark, d):
-    cases = analogue_cases(spark, d)
-    broken = cases.select("case_id", F.concat(F.lit("["), "year", F.lit("] FCA "), "case_id").alias("cited"), F.when(F.col("case_id") % 7 == 0, 0).otherwise(F.col("year")).alias("year"))
-    return broken.select("case_id", e.repaired_year(F.col("year"), F.col("cited")).alias("year"))
-
-
 @query("""WITH p AS (SELECT s_name AS name, CAST(s_suppkey % 50 AS BIGINT) AS n FROM supplier) SELECT name, n, CASE WHEN list_contains(regexp_extract_all(lower(name), '[a-z0-9'']+'), '000000001') THEN 3 WHEN len(list_filter(regexp_extract_all(lower(name), '[a-z0-9'']+'), lambda x: starts_with(x, '000000001'))) > 0 OR starts_with(lower(name), '000000001') THEN 2 ELSE 1 END AS match
 FROM p WHERE contains(lower(name), '000000001') ORDER BY match DESC, n DESC, lower(name) LIMIT 20""")
 def name_completions(spark, d):
@@ -102,9 +47,9 @@ def names_by_alias(spark, d):
     return i.by_alias(people, segments.unionByName(nations), "key").select("key", "full_name")
 
 
-@query("SELECT p_brand AS surname, min(p_type) AS name FROM part WHERE p_size > 48 GROUP BY 1 HAVING count(DISTINCT p_type) = 1")
+@query("SELECT p_brand || '/' || p_size AS surname, min(p_type) AS name FROM part GROUP BY 1 HAVING count(DISTINCT p_type) = 1")
 def unique_surnames(spark, d):
-    names = table(spark, d, "part").where("p_size > 48").select(F.col("p_brand").alias("surname"), F.col("p_type").alias("name"), F.col("p_size").alias("priority"))
+    names = table(spark, d, "part").select(F.concat("p_brand", F.lit("/"), "p_size").alias("surname"), F.col("p_type").alias("name"), F.col("p_size").alias("priority"))
     return i.unique_surnames(names)
 
 
@@ -118,7 +63,7 @@ def merged_judges(spark, d):
 @query("""WITH h AS (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked FROM conversations) SELECT conv_id, turn, count(*) AS n, max(asked) AS asked FROM h GROUP BY 1, 2""")
 def carried_headings(spark, d):
     rows = table(spark, d, "conversations").withColumns({"place": F.struct("turn", "role", "text"), "heading": F.when(F.col("role") == "user", F.col("turn"))})
-    return i.carried(rows, "conv_id", "place", "heading", "asked").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked"))
+    return carry.carried(rows, "conv_id", "place", "heading", "asked").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked"))
 
 
 @query("""SELECT * FROM (SELECT 'o_orderpriority' AS field, CAST(0 AS BIGINT) AS improved, count(*) FILTER (o_orderkey % 10 = 0) AS regressed, CAST(0 AS BIGINT) AS changed FROM orders UNION ALL
@@ -136,13 +81,13 @@ def error_summary(spark, d):
     return q.error_summary(table(spark, d, "events"), ["event_type", "user_id"])
 
 
-@query("""WITH o AS (SELECT DISTINCT o_orderpriority AS grp, l_returnflag AS member, l_partkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 20 = 0),
+@query("""WITH o AS (SELECT DISTINCT o_orderpriority AS grp, l_returnflag AS member, l_partkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 z AS (SELECT grp, member, count(*) AS size FROM o GROUP BY 1, 2), m AS (SELECT grp, count(*) AS members FROM z GROUP BY 1),
 c AS (SELECT grp, CAST(sum(CASE WHEN n = members THEN 1 ELSE 0 END) AS BIGINT) AS in_all FROM (SELECT grp, item, count(*) AS n FROM o GROUP BY 1, 2) JOIN m USING (grp) GROUP BY 1),
 p AS (SELECT x.grp, x.size AS sx, y.size AS sy, (SELECT count(*) FROM o u JOIN o v ON u.grp = v.grp AND u.item = v.item WHERE u.grp = x.grp AND u.member = x.member AND v.member = y.member) AS n FROM z x JOIN z y ON x.grp = y.grp AND x.member < y.member)
 SELECT grp, members, in_all, round(avg(n / (sx + sy - n)), 6) AS mean_jaccard FROM m JOIN c USING (grp) JOIN p USING (grp) GROUP BY ALL""")
 def set_agreement(spark, d):
-    lines = table(spark, d, "lineitem").where("l_partkey % 20 = 0").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return q.set_agreement(lines.select(F.col("o_orderpriority").alias("grp"), F.col("l_returnflag").alias("member"), F.col("l_partkey").alias("item")), "grp", "member", "item")
 
 
