@@ -41,7 +41,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def read_full_texts(spark: SparkSession, path: str) -> DataFrame:
     """path and body of text files; a header that ends in a run of ``=`` is dropped."""
     raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.regexp_replace("value", r"(?s)^.*?\n={10,}\n", ""), r"^\s+|\s+$", "").alias("body"))
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.btrim(F.regexp_replace("value", r"(?s)^.*?\n={10,}\n", ""), F.lit(" \t\n\x0b\x0c\r")).alias("body"))
 
 
 def read_table(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int = 32) -> DataFrame:
