@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dockmill.functions import vocabulary as v
 from dockmill.functions.cases import confidence, lift, rate, split_concepts
 
 
@@ -130,6 +131,49 @@ def concept_growth(tagged: DataFrame, last_year: int) -> DataFrame:
     return counts.withColumn("growth", growth).withColumn("trend", F.when(F.col("growth") > 25, "emerging").when(F.col("growth") < -25, "declining").otherwise("stable"))
 
 
+def concept_effectiveness(cases: DataFrame, tagged: DataFrame, limit: int = 30) -> DataFrame:
+    """concept, court, total, wins, win_rate, lift, baseline of the ``limit`` (1 to 100) commonest concepts: a row for all courts, where court is null, and one for each.
+
+    Totals and courts come from one aggregate, of which the totals are sums.
+    """
+    limit = min(100, max(1, limit))
+    parts = tagged.groupBy("concept", "court").agg(F.count(F.lit(1)).alias("total"), F.sum(F.col("won").cast("long")).alias("wins"))
+    whole = parts.groupBy("concept").agg(F.sum("total").alias("total"), F.sum("wins").alias("wins")).withColumn("court", F.lit(None).cast("string"))
+    kept = top(whole, limit, "total", "concept")
+    courts = parts.where(F.coalesce("court", F.lit("")) != "").join(F.broadcast(kept.select("concept")), "concept")  # at most 100 rows
+    overall = cases.agg(rate(F.sum(F.col("won").cast("long")), F.count(F.lit(1))).alias("baseline"))
+    rows = kept.unionByName(courts).withColumn("win_rate", rate(F.col("wins"), F.col("total"))).crossJoin(F.broadcast(overall))
+    return rows.select("concept", "court", "total", "wins", "win_rate", lift(F.col("win_rate"), F.col("baseline")).alias("lift"), "baseline")
+
+
+def concept_trends(tagged: DataFrame, limit: int = 10, last_year: int | None = None) -> DataFrame:
+    """concept, year, total, wins, win_rate, and the concept's growth and trend, of the ``limit`` (1 to 30) commonest concepts.
+
+    Growth is that of the last two years up to ``last_year``, by default the last there is, as in ``concept_growth``; a concept without
+    cases in the last four has neither.
+    """
+    limit = min(30, max(1, limit))
+    yearly = success(tagged.where("year > 0"), "concept", "year")
+    kept = F.broadcast(top(tagged.groupBy("concept").agg(F.count(F.lit(1)).alias("n")), limit, "n", "concept").select("concept"))  # at most 30 rows
+    until = last_year or tagged.agg(F.max("year")).first()[0] or 0
+    growth = concept_growth(tagged.join(kept, "concept"), until).select("concept", "growth", "trend")
+    return yearly.join(kept, "concept").join(F.broadcast(growth), "concept", "left")
+
+
+def outcome_trend(cases: DataFrame, least: int = 10) -> DataFrame:
+    """year, total, affirmed_rate, win_rate: the share of affirmed cases and of those an applicant may call a win in any body, for years of at least ``least`` cases."""
+    affirmed, won = F.col("outcome") == "Affirmed", F.col("outcome").isin(v.ANY_WINS)
+    counts = cases.where("year > 0").groupBy("year").agg(F.count(F.lit(1)).alias("total"), F.count_if(affirmed).alias("a"), F.count_if(won).alias("w")).where(F.col("total") >= least)
+    return counts.select("year", "total", rate(F.col("a"), F.col("total")).alias("affirmed_rate"), rate(F.col("w"), F.col("total")).alias("win_rate"))
+
+
+def merged_suggestions(rows: DataFrame, key: str, *, summed: bool = False) -> DataFrame:
+    """name, canonical, n of suggestions (``key``, name, canonical, n, place) that are the same: the longest name, the first canonical one, the greatest count or the sum; commonest first."""
+    order = F.struct((-F.length("name")).alias("less"), "place")
+    n = F.sum("n") if summed else F.max("n")
+    return rows.groupBy(key).agg(F.min_by("name", order).alias("name"), F.min_by("canonical", "place").alias("canonical"), n.alias("n")).orderBy(F.desc("n"), "name").select("name", "canonical", "n")
+
+
 def judge_leaderboard(judged: DataFrame, *, min_cases: int = 1, limit: int = 50, by: str = "total") -> DataFrame:
     """Success, years and commonest court of each judge; a case counts once for a judge."""
     per_court = judged.groupBy("judge", "court").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("won").cast("long")).alias("w"), F.min("year").alias("y0"), F.max("year").alias("y1"))

@@ -73,6 +73,12 @@ def fill_empty(base: DataFrame, values: DataFrame, key: str, cols: list[str]) ->
     return joined.select(*(F.coalesce(F.nullif(F.trim(F.col(f"b.{c}")), F.lit("")), F.col(f"v.{c}"), F.col(f"b.{c}")).alias(c) if c in cols else F.col(key) if c == key else F.col(f"b.{c}") for c in base.columns))
 
 
+def with_parent_sums(children: DataFrame, parent: str, sums: dict[str, Column]) -> DataFrame:
+    """``children`` with sums over all children of their parent; sums are combined before they are shuffled, and Spark splits the join of a parent of very many."""
+    found = children.groupBy(F.col(parent).alias("__parent")).agg(*(c.alias(name) for name, c in sums.items()))
+    return children.join(found, children[parent].eqNullSafe(found["__parent"]), "left").drop("__parent")
+
+
 def key_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(side, n): how many keys are on the left only, the right only, in both."""
     a, b = (d.select(key).distinct().withColumn(n, F.lit(True)) for d, n in ((left, "l"), (right, "r")))

@@ -240,3 +240,30 @@ def dashboard_insights(spark, d):
 @query(f"WITH {CASES_SQL} SELECT DISTINCT 'court' AS dim, court AS value FROM cases UNION ALL SELECT DISTINCT 'nature', nature FROM cases UNION ALL SELECT DISTINCT 'subclass', subclass FROM cases UNION ALL SELECT DISTINCT 'year', CAST(year AS VARCHAR) FROM cases")
 def filter_options(spark, d):
     return a.long_counts(analogue_cases(spark, d), {c: F.col(c) for c in ("court", "nature", "subclass", "year")}).select("dim", F.col("key").alias("value"))
+
+
+@query(f"""WITH {CASES_SQL}, {CONCEPTS_SQL}, b AS (SELECT round(100.0 * sum(CAST(won AS INTEGER)) / count(*), 1) AS baseline FROM cases), t AS (SELECT concept, court, won FROM cases JOIN concepts USING (case_id)),
+g AS (SELECT concept, NULL AS court, {SUMS} FROM t GROUP BY 1 UNION ALL SELECT concept, court, {SUMS} FROM t GROUP BY 1, 2), k AS (SELECT concept FROM t GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3)
+SELECT concept, court, total, wins, {RATE} AS win_rate, CASE WHEN baseline > 0 THEN round(({RATE}) / baseline, 2) ELSE 0.0 END AS lift, baseline FROM g JOIN k USING (concept) CROSS JOIN b""")
+def concept_effectiveness(spark, d):
+    return a.concept_effectiveness(analogue_cases(spark, d), tagged(spark, d), 3)
+
+
+@query(f"""WITH {CASES_SQL}, {CONCEPTS_SQL}, t AS (SELECT concept, year, won FROM cases JOIN concepts USING (case_id)), k AS (SELECT concept FROM t GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3), m AS (SELECT max(year) AS y FROM t),
+c AS (SELECT concept, count(*) FILTER (year BETWEEN y - 1 AND y) AS recent, count(*) FILTER (year BETWEEN y - 3 AND y - 2) AS previous FROM t CROSS JOIN m GROUP BY 1),
+h AS (SELECT concept, CAST(CASE WHEN previous = 0 THEN 100.0 ELSE round(100.0 * (recent - previous) / previous, 1) END AS DOUBLE) AS growth FROM c WHERE recent + previous > 0), g AS (SELECT concept, year, {SUMS} FROM t GROUP BY 1, 2)
+SELECT concept, year, total, wins, {RATE} AS win_rate, growth, CASE WHEN growth > 25 THEN 'emerging' WHEN growth < -25 THEN 'declining' WHEN growth IS NOT NULL THEN 'stable' END AS trend FROM g JOIN k USING (concept) LEFT JOIN h USING (concept)""")
+def concept_trends(spark, d):
+    return a.concept_trends(tagged(spark, d), 3)
+
+
+@query(f"""WITH {CASES_SQL} SELECT year, count(*) AS total, round(100.0 * count(*) FILTER (outcome = 'Affirmed') / count(*), 1) AS affirmed_rate, round(100.0 * count(*) FILTER (outcome IN ('Allowed', 'Remitted', 'Set Aside', 'Granted', 'Quashed')) / count(*), 1) AS win_rate FROM cases GROUP BY 1 HAVING count(*) >= 10""")
+def outcome_trend(spark, d):
+    return a.outcome_trend(analogue_cases(spark, d))
+
+
+@query("""WITH s AS (SELECT lower(p_brand) || '/' || length(p_type) AS k, p_name AS name, p_type AS canonical, CAST(p_size AS BIGINT) AS n, p_partkey AS place FROM part)
+SELECT arg_min(name, (-length(name), place)) AS name, arg_min(canonical, place) AS canonical, max(n) AS n FROM s GROUP BY k""")
+def merged_suggestions(spark, d):
+    rows = table(spark, d, "part").select(F.concat(F.lower("p_brand"), F.lit("/"), F.length("p_type")).alias("k"), F.col("p_name").alias("name"), F.col("p_type").alias("canonical"), F.col("p_size").cast("long").alias("n"), F.col("p_partkey").alias("place"))
+    return a.merged_suggestions(rows, "k")

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dockmill.functions import cascades, origin, rules
 from dockmill.functions import extraction as e
-from dockmill.functions import origin, rules
 from dockmill.sources.cases import CASES_SQL, analogue_cases
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -51,6 +51,10 @@ FIELDS = {
         by_case(3, "'under the Migration Act 1958 (Cth) as it was. The Migration Act 1958 applies. '", "'see Migration Regulations 1994 r ' || case_id || '. '"),
         f"'He held a student visa, subclass ' || (500 + case_id % 99) || ', see ' || {CITED}",
     ]),
+    "judgment": by_case(8, f"'DECISION:' || {NL} || {NL} || 'The Tribunal remits ' || nature || {NL} || 'x' || {NL} || 'y'", f"'ORDERS' || {NL} || '(1) One ' || case_id || {NL} || '(2) Two' || {NL} || 'rest'", f"'ORDER: the ' || nature || ' matter' || {NL} || {NL} || 'more'", f"'The application of ' || case_id || ' is refused with costs' || {NL} || 'x'", f"'x' || {NL} || 'all of ' || nature || ' must be granted' || {NL}", "'the review is hereby upheld for ' || case_id", f"'the decision under review is varied for ' || country || {NL}"),
+    "applied": by_case(8, "'a partner (Class UC) visa of ' || nature", "nature || ' Entry (Class UC) visas'", "'section 501 of ' || nature", "'to grant a Class TU thing to ' || case_id", "'Subclass 457 (Work) of ' || nature", "'a claim of refugees'", "'judicial review'"),
+    "headed": by_case(6, f"'CATCHWORDS: MIGRATION - visa of ' || nature || {NL} || 'refused' || {NL} || {NL} || 'rest'", f"'Catchwords' || {NL} || 'No Catchwords' || {NL}", f"'CATCHWORDS: x' || {NL} || {NL} || 'DIVISION:' || {NL} || 'Migration & ' || nature || {NL}", f"'KEY WORDS: ' || country || ' and ' || nature || {NL} || {NL}", f"'CATCHWORDS' || {NL} || 'section 36 of ' || country || {NL} || 'LEGISLATION' || {NL}"),
+    "tested": by_case(6, "'under s. 36 of it'", "'the ' || nature || ' character test'", f"'LEGISLATION' || {NL} || {NL} || 'Act s 5 s ' || (40 + case_id % 900) || ' section 65, s 65' || {NL} || 'STATEMENT OF x'", "'a risk of serious harm'", "'s 24 of the Citizenship Act'"),
     "told": by_case(9, f"'Country of Reference: ' || upper({PLACE}) || ' MEMBER: Lee'", f"'He is a citizen of ' || {PLACE} || '.'", f"'an ' || {PEOPLE} || ' national'", "'INTERPRETER: Tamil (Sri Lanka)'", f"'was born in ' || {PLACE}", f"{FILL} || ' fear of harm in ' || {PLACE}", f"'holds a ' || {PLACE} || ' passport'", f"{FILL} || {PLACE} || 'X, not ' || {PLACE}"),
     "appearances": by_case(9, f"'REPRESENTATIVE:' || {NL} || {NL} || 'Ms No' || case_id || ' (MARN: 12) DATE: ' || {DAY}", "'The applicant was self-represented.'", f"'represented by Firm ' || case_id || {NL}", f"'Counsel for the Appellant:' || {NL} || 'Mr ' || nature || {NL}", "'The applicant was not represented'", f"'Migration Agent: Agent ' || case_id || {NL}", f"'Applicant''s Representative: none' || {NL}", f"'appeared for the applicant: Roe ' || case_id || {NL}"),
 }
@@ -171,3 +175,25 @@ CASE WHEN starts_with(a, 'REPRESENTATIVE') THEN trim(regexp_extract(a, ':\\n\\n(
 def representations(spark, d):
     rows = analogue_decisions(spark, d, "appearances").select("case_id", rules.represented_by(F.col("appearances")).alias("r"))
     return rows.select("case_id", "r.represented", "r.representative")
+
+
+OUTCOME_RULES = [r"(?i)DECISION:\s*The Tribunal[^\n]*(?:\n[^\n]*){0,3}", r"(?i)The decision under review is \w+[^\n]*", r"(?i)ORDERS?\s*\n(?:\(\d+\)[^\n]*\n?){1,6}", r"(?is)(?:ORDERS?|THE COURT ORDERS)[:\s]*\n?(.*?)(?:\n\s*\n)",
+                 r"(?i)(?:The )?application[^\n]*(?:is|be|must be)\s+(?:dismissed|refused|allowed|granted)[^\n]*", r"(?i)[^\n]*must be (?:dismissed|refused|allowed|granted)[^\n]*", r"(?i)(?:review|appeal|application)\s+(?:should be|is hereby|is|be)\s+(?:affirmed|dismissed|allowed|refused|remitted|set aside|upheld)[^\n]*"]
+OUTCOME_TOLD = "CASE " + " ".join(f"WHEN regexp_matches(judgment, {quoted(p)}) THEN trim(regexp_extract(judgment, {quoted(p)}, 0), ' ' || {NL})" for p in OUTCOME_RULES) + " ELSE '' END"
+CATCHWORDS_TOLD = "CASE " + " ".join(f"WHEN length(trim(regexp_extract(headed, {quoted(p)}, 1))) > 5 THEN trim(regexp_extract(headed, {quoted(p)}, 1))" for p in (r"(?is)CATCHWORDS[:\s]*\n?(.*?)(?:\n\s*\n|\nLEGISLATION|\nCASES|\nORDER|\nAPPLICANT)", r"(?is)KEY WORDS?[:\s]*\n?(.*?)(?:\n\s*\n)", r"(?i)DIVISION:\s*\n?\s*(Migration[^\n]*)")) + " ELSE '' END"
+REASON = r"(?is)CATCHWORDS?\s*[:\n]+\s*(.+?)\n\s*(?:LEGISLATION|STATEMENT\s+OF|DECISION\s+AND\s+REASONS|$)"
+TEST_RULES = [(r"(?i)\bs\.?\s*36\b", "s.36 refugee test"), (r"(?i)\bs\.?\s*24\b.*citizenship", "s.24 citizenship refusal"), (r"(?i)\brisk\s+(?:of|to)\s+(?:significant|serious)\s+harm\b", "complementary protection"), (r"(?i)\bcharacter\s+test\b", "character test")]
+TESTED = first_of("tested", TEST_RULES, "CASE WHEN starts_with(tested, 'LEGISLATION') THEN CASE regexp_extract(tested, 's 5 s (\\d+)', 1) WHEN '501' THEN 's.501 character test' WHEN '499' THEN 's.499 ministerial direction' WHEN '417' THEN 's.417 ministerial intervention' WHEN '351' THEN 's.351 ministerial intervention (MRTA)' ELSE 's.65' END ELSE '' END")
+
+
+@query(f"""WITH {SAID_SQL} SELECT case_id, {OUTCOME_TOLD} AS outcome,
+CASE case_id % 8 WHEN 0 THEN regexp_extract(applied, 'partner \\(Class UC\\) visa', 0) WHEN 1 THEN regexp_extract(applied, '^(.*) Entry', 1) || ' Entry (Class UC)' WHEN 2 THEN 'Character cancellation (s.501)' WHEN 3 THEN regexp_extract(applied, 'Class TU[^\\n]*', 0)
+ WHEN 4 THEN 'Subclass 457 (W)' ELSE CASE WHEN contains(title, '(Migration)') THEN 'Migration (general)' WHEN contains(title, '(Refugee)') OR case_id % 8 = 5 THEN 'Refugee/Protection' WHEN case_id % 8 = 6 THEN 'Judicial review (migration)' ELSE '' END END AS visa,
+CASE WHEN contains(headed, 'No Catchwords') THEN 'No Catchwords' ELSE {CATCHWORDS_TOLD} END AS catchwords,
+regexp_replace(trim(regexp_replace(regexp_extract(headed, {quoted(REASON)}, 1), '\\s+', ' ', 'g')), '(?i)^(?:MIGRATION|IMMIGRATION)\\s*[–-]\\s*', '') AS reason, {TESTED} AS legal_test FROM d""")
+def decision_cascades(spark, d):
+    rows = analogue_decisions(spark, d, "judgment", "applied", "title", "headed", "tested")
+    return rows.select(
+        "case_id", cascades.outcome_of(F.col("judgment")).alias("outcome"), cascades.visa_of(F.col("applied"), F.col("title")).alias("visa"), cascades.catchwords_of(F.col("headed")).alias("catchwords"),
+        cascades.reason_of(F.col("headed")).alias("reason"), cascades.legal_test_of(F.col("tested")).alias("legal_test"),
+    )

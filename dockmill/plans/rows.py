@@ -124,10 +124,11 @@ def json_path_counts(spark, d):
     return table(spark, d, "events").groupBy("event_type", (F.get_json_object("props", "$.k").cast("long") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT conv_id, count(*) AS turns, string_agg(role, ',' ORDER BY turn) AS roles, CAST(sum(length(text)) AS BIGINT) AS characters FROM conversations GROUP BY 1")
+@query("SELECT conv_id, turn, role, count(*) OVER (PARTITION BY conv_id) AS turns, CAST(sum(length(text)) OVER (PARTITION BY conv_id) AS BIGINT) AS characters FROM conversations")
 def parent_children(spark, d):
-    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"), F.sum(F.length("text").cast("long")).alias("characters"))
-    return turns.select("conv_id", F.size("t").cast("long").alias("turns"), F.array_join(F.transform("t", lambda x: x["role"]), ",").alias("roles"), "characters")
+    """Parents' sums beside each child, in long form: a parent of any number of children is never one row."""
+    turns = table(spark, d, "conversations")
+    return r.with_parent_sums(turns, "conv_id", {"turns": F.count(F.lit(1)), "characters": F.sum(F.length("text").cast("long"))}).select("conv_id", "turn", "role", "turns", "characters")
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
@@ -148,7 +149,9 @@ def parsed_dates(spark, d):
 
 @query("""WITH t AS (SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS tag FROM part UNION SELECT DISTINCT p_brand, 'extra' FROM part) SELECT p_brand, string_agg(tag, ', ' ORDER BY tag) AS tags FROM t GROUP BY 1""")
 def batch_tags(spark, d):
-    joined = table(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.collect_set(F.translate("p_name", " ", ",")), ",").alias("tags"))
+    # tags are told apart before they are put together, so a brand's row grows with its tags, not with its rows
+    each = table(spark, d, "part").select("p_brand", F.explode(F.split("p_name", " ")).alias("tag")).distinct()
+    joined = each.groupBy("p_brand").agg(F.array_join(F.collect_set("tag"), ",").alias("tags"))
     return joined.select("p_brand", r.add_tag(F.col("tags"), "<extra>,").alias("tags"))
 
 
