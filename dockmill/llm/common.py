@@ -62,6 +62,16 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def guarded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns that could clash with the operators' own (they begin with two underscores) renamed, and the new name of every column."""
+    taken, names = {*df.columns}, {}
+    for k, c in enumerate(df.columns):
+        names[c] = c
+        while names[c].startswith("__") or (names[c] != c and names[c] in taken):
+            names[c] = f"column{k}{names[c]}"
+    return df.toDF(*names.values()), names
+
+
 #: Rows of a key and a hash (some 50 bytes each in memory) that may be broadcast; beyond it Spark joins by shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -76,7 +86,11 @@ def keep_rows(df: DataFrame, found: DataFrame, id_col: str, key: Column) -> Data
     keys = found.groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     odd = cut(keys.where(~F.col("kept") | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("key").alias("__other"), "kept"))
     sizes = {r.kept: r["count"] for r in odd.groupBy("kept").count().collect()}
-    rows = df.withColumn("__key", key)
+    columns, rows = df.columns, df.withColumn("key of this row", key)
+    if any(c.startswith("__") for c in columns):
+        rows, names = guarded(rows)
+        id_col = names[id_col]
+    rows = rows.withColumnRenamed("key of this row", "__key")
 
     def side(kept: bool) -> tuple[DataFrame, Column]:
         part = odd.where(F.col("kept") == kept)
@@ -88,7 +102,7 @@ def keep_rows(df: DataFrame, found: DataFrame, id_col: str, key: Column) -> Data
     if sizes.get(True):
         repeated = rows.join(*side(True), "left_semi").dropDuplicates([id_col, "__key"])
         rows = rows.join(*side(True), "left_anti").unionByName(repeated)
-    return rows.drop("__key")
+    return rows.drop("__key").toDF(*columns)
 
 
 #: Rows of one key from which on the key is no longer left to a single task.

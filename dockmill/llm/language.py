@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dockmill.llm.common import BROADCAST_KEYS, cut, small_batches, table, url_host, url_path
+from dockmill.llm.common import BROADCAST_KEYS, cut, guarded, small_batches, table, url_host, url_path
 from dockmill.llm.html_blocks import declared_language, leaf_blocks
 
 SAMPLE = 300  # distinct labelled texts of each language that fit the text model
@@ -230,17 +230,20 @@ def keep_known_language(docs: DataFrame, text_col: str = "text", lang_col: str =
     are judged alike; an empty table stays empty. Whole rows are shuffled only if more than
     ``BROADCAST_KEYS`` rows go and there are more than ``BROADCAST_HOSTS`` hosts.
     """
+    columns = docs.columns
+    docs, names = guarded(docs)
+    text_col, lang_col, host_col = names[text_col], names[lang_col], names[host_col]
     model = fit(docs, text_col, lang_col)
     if not model.languages:
-        return docs.where(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
+        return docs.where(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")).toDF(*columns)
     none = F.lit(None).cast("string")
     rows = _scored(docs, model, text=F.col(text_col), declared=none, host=F.col(host_col), address=none, carry=docs.columns)
     found, whole = _decided(rows, model.languages)
     if whole:
-        return found.where(accepted()).select(*docs.columns)
+        return found.where(accepted()).select(*docs.columns).toDF(*columns)
     gone = cut(found.where(~accepted()).select("__rid"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
-    return rows.join(gone, "__rid", "left_anti").select(*docs.columns)
+    return rows.join(gone, "__rid", "left_anti").select(*docs.columns).toDF(*columns)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
