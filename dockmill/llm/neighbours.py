@@ -299,16 +299,48 @@ def _exact(nodes: DataFrame, asked: DataFrame, k: int, kind: type) -> DataFrame:
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place")
 
 
+#: Bytes of vectors (as doubles) in a block of nodes that meets a block of queries.
+NODE_BYTES = 32 << 20
+
+
 def _exact_neighbours(nodes: DataFrame, asked: DataFrame, queries: int, k: int, kind: type) -> DataFrame:
-    """rid, query_id, vec_id, score over all nodes, in as many scans as there are blocks of queries."""
+    """rid, query_id, vec_id, score of what may be among the ``k`` nearest of each asked row, over all nodes.
+
+    Blocks of queries meet blocks of nodes, all in one job; of each meeting a query's ``k`` best go
+    on, ties to the smaller id, so the best of all are among them.
+    """
+    sizes = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select("dim", F.ceil(F.col("n") * F.col("dim") * 8 / NODE_BYTES).cast("int").alias("node_blocks"))
+    sizes = cut(sizes)  # a row for each length of vectors
+    few = F.broadcast(sizes) if sizes.count() <= BROADCAST_KEYS else sizes
     parts = partitions_for(queries, QUERY_BLOCK)
-    out = None
-    for n in range(parts):
-        some = asked.where(F.pmod(F.xxhash64("rid", F.lit(2)), F.lit(parts)) == n)
-        near = _exact(nodes, some, k, kind).join(nodes.select("nid", F.explode("members").alias("m")), "nid")
-        near = cut(near.join(some.select("rid", F.col("vec_id").alias("query_id")), "rid").where("m.rid <> rid").select("rid", "query_id", F.col("m.vec_id").alias("vec_id"), "score"))
-        out = near if out is None else out.unionByName(near)
-    return out
+    left = asked.join(few, "dim").select("rid", "vec_id", "dim", "vector", F.pmod(F.xxhash64("rid", F.lit(2)), F.lit(parts)).alias("block"), F.explode(F.sequence(F.lit(0), F.col("node_blocks") - 1)).alias("node_block"))
+    right = nodes.join(few, "dim").select("nid", "dim", "vector", "members", F.pmod(F.xxhash64("nid"), F.col("node_blocks")).cast("int").alias("node_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("block"))
+
+    def meet(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asking.empty or held.empty:
+            return pd.DataFrame({"rid": [], "query_id": [], "vec_id": [], "score": []})
+        said = _stacked(asking["vector"], kind).astype(np.float64) @ _stacked(held["vector"], kind).astype(np.float64).T
+        n = min(k + 1, said.shape[1])  # a row may be the nearest to itself
+        least = -np.partition(-said, n - 1, axis=1)[:, n - 1]
+        place, node = np.nonzero(said >= least[:, None])
+        sizes = held["members"].map(len).to_numpy()
+        pairs = np.array([(m["vec_id"], m["rid"]) for ms in held["members"] for m in ms], np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        each = sizes[node]
+        at = np.repeat(starts[node] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())
+        place, score = np.repeat(place, each), np.repeat(said[place, node], each)
+        rids = asking["rid"].to_numpy()
+        other = pairs[at, 1] != rids[place]
+        place, score, ids = place[other], score[other], pairs[at[other], 0]
+        order = np.lexsort((ids, -score, place))
+        place, score, ids = place[order], score[order], ids[order]
+        first = np.searchsorted(place, place)
+        best = np.arange(len(place)) - first < k
+        return pd.DataFrame({"rid": rids[place[best]], "query_id": asking["vec_id"].to_numpy()[place[best]], "vec_id": ids[best], "score": score[best]})
+
+    keys = ["dim", "block", "node_block"]
+    left, right = (side.toDF(*(f"{c} " for c in side.columns)).toDF(*side.columns) for side in (left, right))  # both come from the same rows
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "rid long, query_id long, vec_id long, score double")
 
 
 def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", *, exact: bool = False) -> DataFrame:

@@ -163,3 +163,22 @@ def test_chat_spans_partitions(spark):
         body = turns[1:] if turns[0] == "system" else turns
         assert all(t == ("user", "assistant")[k % 2] for k, t in enumerate(body))
     assert chat.repair_conversations(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("queries", "size"), [(8_192, 32 << 20), (7, 700)])
+def test_exact_search_in_blocks(spark, monkeypatch, queries, size):
+    """Whole numbers, so that scores tie; copies, several lengths, and rows of equal id."""
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", queries)
+    monkeypatch.setattr(neighbours, "NODE_BYTES", size)
+    rng = np.random.default_rng(8)
+    rows = [(int(k), [float(x) for x in rng.integers(-2, 3, 3)] + ([1.0] if k % 9 == 0 else [])) for k in range(160)]
+    rows += [(200 + k, rows[3][1]) for k in range(12)] + [(20, [1.0, 2.0, 0.0]), (300, None), (301, [0.0, 0.0, 0.0])]
+    usable = [(k, i, v) for k, (i, v) in enumerate(rows) if v and any(v)]
+    want = []
+    for k, q, v in usable:
+        if q % 20 == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w)), i) for j, i, w in usable if j != k and len(w) == len(v))[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = neighbours.nearest_neighbours(df, F.col("vec_id") % 20 == 0, 5, vector_col="vector", exact=True).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
