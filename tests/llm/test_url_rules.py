@@ -50,3 +50,13 @@ def test_many_tokens_that_go_together(spark):
     urls = [f"http://h.biz/{path}/?{k}" for k in ("k1", "k2") * 40]
     said = verdicts(spark, urls + ["http://o.biz/x/n"], [u.endswith("k1") for u in urls])
     assert said == {k: "block" if u.endswith("k1") else "allow" for k, u in enumerate(urls)} | {80: "allow"}
+
+
+def test_listed_rules_by_their_words(spark):
+    want = {
+        "http://com/en/": ("com/en/", "block"), "http://a.example.com/en/71": ("example.com/en/7", "allow"), "http://x.net/de/1": ("net/de/", "allow"),
+        "http://a.EXAMPLE.net/de/81": ("example.net/de/8", "block"), "http://example.net/de/7": ("net/de/", "allow"), "http://b.org/es/?q": ("org/es/", "block"),
+        "http://planet/de/1": (None, "allow"), "http://x.net/en/": (None, "allow"),
+    }
+    pages, labels = spark.createDataFrame([*enumerate(want)], "page_id long, url string"), spark.createDataFrame([], "page_id long, block boolean")
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, labels).collect()} == dict(enumerate(want.values()))
