@@ -9,6 +9,14 @@ from dockmill.sources.cases import ANALOGUE_CONCEPTS, ANALOGUE_TRIBUNALS, CASES_
 
 QUERIES, ORACLE_SQL = {}, {}
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+def lift_sql(share: str, overall: str) -> str:
+    """The quotient of two rates of one decimal to two decimals, halves up, in whole numbers: of doubles, 32.8 / 32.0 = 1.025 is rounded down."""
+    a, b = (f"CAST(round(10 * ({x})) AS BIGINT)" for x in (share, overall))
+    return f"CAST((200 * {a} + {b}) // (2 * {b}) / 100.0 AS DOUBLE)"
+
+
 RATE = "CASE WHEN total > 0 THEN round(100.0 * wins / total, 1) ELSE 0.0 END"
 SUMS = "count(*) AS total, CAST(sum(CAST(won AS INTEGER)) AS BIGINT) AS wins"
 
@@ -131,7 +139,7 @@ def concept_topn(spark, d):
 
 
 @query(f"""WITH {CASES_SQL}, {CONCEPTS_SQL}, b AS (SELECT round(100.0 * sum(CAST(won AS INTEGER)) / count(*), 1) AS overall FROM cases), g AS (SELECT concept, {SUMS} FROM cases JOIN concepts USING (case_id) GROUP BY 1)
-SELECT concept, total, wins, {RATE} AS win_rate, round(({RATE}) / overall, 2) AS lift FROM g CROSS JOIN b""")
+SELECT concept, total, wins, {RATE} AS win_rate, {lift_sql(RATE, 'overall')} AS lift FROM g CROSS JOIN b""")
 def concept_lift(spark, d):
     return a.concept_effect(analogue_cases(spark, d), tagged(spark, d))
 
@@ -244,7 +252,7 @@ def filter_options(spark, d):
 
 @query(f"""WITH {CASES_SQL}, {CONCEPTS_SQL}, b AS (SELECT round(100.0 * sum(CAST(won AS INTEGER)) / count(*), 1) AS baseline FROM cases), t AS (SELECT concept, court, won FROM cases JOIN concepts USING (case_id)),
 g AS (SELECT concept, NULL AS court, {SUMS} FROM t GROUP BY 1 UNION ALL SELECT concept, court, {SUMS} FROM t GROUP BY 1, 2), k AS (SELECT concept FROM t GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3)
-SELECT concept, court, total, wins, {RATE} AS win_rate, CASE WHEN baseline > 0 THEN round(({RATE}) / baseline, 2) ELSE 0.0 END AS lift, baseline FROM g JOIN k USING (concept) CROSS JOIN b""")
+SELECT concept, court, total, wins, {RATE} AS win_rate, CASE WHEN baseline > 0 THEN {lift_sql(RATE, 'baseline')} ELSE 0.0 END AS lift, baseline FROM g JOIN k USING (concept) CROSS JOIN b""")
 def concept_effectiveness(spark, d):
     return a.concept_effectiveness(analogue_cases(spark, d), tagged(spark, d), 3)
 

@@ -9,7 +9,7 @@ from dockmill.operators import carry
 from dockmill.operators import identity as i
 from dockmill.operators import quality as q
 from dockmill.operators import retrieval as t
-from dockmill.plans.analytics import RATE, SUMS, judged, tagged
+from dockmill.plans.analytics import RATE, SUMS, judged, lift_sql, tagged
 from dockmill.sinks import files
 from dockmill.sources.cases import CASES_SQL, CONCEPTS_SQL, JUDGES_SQL, analogue_cases, table
 
@@ -136,7 +136,7 @@ def numeric_text_order(spark, d):
 
 @query(f"""WITH {CASES_SQL}, {CONCEPTS_SQL}, k AS (SELECT concept FROM concepts GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3), b AS (SELECT round(100.0 * sum(CAST(won AS INTEGER)) / count(*), 1) AS overall FROM cases), t AS (SELECT * FROM concepts WHERE concept IN (SELECT concept FROM k)),
 g AS (SELECT x.concept AS concept_a, y.concept AS concept_b, {SUMS} FROM t x JOIN t y ON x.case_id = y.case_id AND x.concept < y.concept JOIN cases ON cases.case_id = x.case_id GROUP BY 1, 2 HAVING count(*) >= 5)
-SELECT concept_a, concept_b, total, wins, {RATE} AS win_rate, round(({RATE}) / overall, 2) AS lift FROM g CROSS JOIN b""")
+SELECT concept_a, concept_b, total, wins, {RATE} AS win_rate, {lift_sql(RATE, 'overall')} AS lift FROM g CROSS JOIN b""")
 def co_occurrence(spark, d):
     cases = analogue_cases(spark, d)
     return a.with_lift(a.concept_combinations(tagged(spark, d), 2, most=8, top_concepts=3, least=5), cases)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dockmill.functions.vocabulary import CONTEXT_RULES
 from dockmill.operators import analytics as a
 from dockmill.operators import likeness, profiles
-from dockmill.plans.analytics import tagged
+from dockmill.plans.analytics import lift_sql, tagged
 from dockmill.sources.cases import CASES_SQL, CONCEPTS_SQL, JUDGES_SQL, analogue_cases, analogue_judges, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -47,7 +47,7 @@ o AS (SELECT judge, max(win_rate) FILTER (section = 'all') AS own_rate, max(TRY_
 r AS (SELECT g.*, own_rate, last_year, court_rate, row_number() OVER (PARTITION BY judge, section ORDER BY CASE WHEN section = 'year' THEN TRY_CAST(key AS INTEGER) END, total DESC, key) AS rank FROM g JOIN o USING (judge) LEFT JOIN b ON section = 'court' AND key = court),
 k AS (SELECT * FROM r WHERE rank <= CASE section WHEN 'concept' THEN 30 WHEN 'country' THEN 20 ELSE 1000000 END)
 SELECT judge, section, key, CAST(rank AS INTEGER) AS rank, total, wins, win_rate, CASE WHEN section = 'concept' THEN own_rate ELSE court_rate END AS baseline,
-CASE WHEN section = 'concept' THEN CASE WHEN own_rate > 0 THEN round(win_rate / own_rate, 2) ELSE 0.0 END END AS lift, round(win_rate - court_rate, 1) AS delta FROM k
+CASE WHEN section = 'concept' THEN CASE WHEN own_rate > 0 THEN {lift_sql('win_rate', 'own_rate')} ELSE 0.0 END END AS lift, round(win_rate - court_rate, 1) AS delta FROM k
 UNION ALL SELECT judge, 'recent', key, CAST(rank AS INTEGER), total, wins, win_rate, NULL, NULL, NULL FROM k WHERE section = 'year' AND TRY_CAST(key AS INTEGER) > last_year - 3""")
 def judge_breakdowns(spark, d):
     rates = a.success(analogue_cases(spark, d), "court").select("court", F.col("win_rate").alias("rate"))

@@ -2,6 +2,7 @@
 
 import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from dockmill.functions import cases as c
 from dockmill.functions import names
 from dockmill.functions.vocabulary import CONCEPTS, FAMILIES
 from dockmill.operators import rows as r
+from dockmill.plans.analytics import lift_sql
 from dockmill.sources import cases as s
 from dockmill.streaming.events import EVENTS, ingest_once, read_events, windowed_counts
 
@@ -111,3 +113,12 @@ def test_hearing_date_rules_in_order(spark):
         None: "",
     }
     assert values(spark, hearing_date, [*cases]) == [*cases.values()]
+
+
+def test_lift_rounds_halves_up_on_both_sides(spark):
+    pairs = [(a, b) for b in range(1, 1001, 3) for a in range(0, 1001, 5)] + [(328, 320), (369, 360)]
+    want = [(200 * a + b) // (2 * b) / 100 for a, b in pairs]
+    rows = spark.createDataFrame([(k, a / 10, b / 10) for k, (a, b) in enumerate(pairs)], "k int, win_rate double, own_rate double")
+    assert [r.x for r in rows.orderBy("k").select(c.lift(F.col("win_rate"), F.col("own_rate")).alias("x")).collect()] == want
+    frame = rows.toPandas()  # noqa: F841
+    assert [x for (x,) in duckdb.sql(f"SELECT {lift_sql('win_rate', 'own_rate')} FROM frame ORDER BY k").fetchall()] == want
