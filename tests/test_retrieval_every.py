@@ -29,3 +29,10 @@ def test_queries_grow_with_the_table(spark):
     rows = plans.QUERIES["knn_cosine"](spark, "/root/testdata/sf0.01").select("query").distinct().collect()
     ids = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("vec_id % 20 = 0").count()
     assert len(rows) == ids > 20
+
+
+def test_pairs_of_blocks_come_in_small_batches(spark):
+    session = spark.newSession()
+    rows = session.createDataFrame([(k, [float(k), 1.0]) for k in range(9)], "vec_id long, embedding array<double>")
+    assert retrieval.exact_neighbours(rows, rows.where("vec_id = 3"), 2).count() == 2
+    assert int(session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 32 << 20
