@@ -1,9 +1,12 @@
 """Near copies by the Jaccard similarity of word shingles, each candidate verified on the whole sets.
 
-A text is the set of its shingles of ``WORDS`` words. Rows of equal sets are one node. MinHash
-values in ``BANDS`` bands of ``BAND`` find candidates: a pair of similarity 0.8 shares no band with
-a chance of 3 in a million, a closer one with less. In a bucket every node is first compared with
-the bucket's smallest, its pivot, which joins large groups by as many pairs as they have rows.
+A text is the set of its shingles of ``WORDS`` words. Rows of equal sets are one node. First come
+the SimHash fingerprints of the sets: the generalised pigeonhole search of ``simhash`` finds those
+within ``RADIUS`` bits, and what is verified joins nodes to parts. At a similarity of 0.8
+fingerprints differ by some ten bits, so MinHash goes on from these parts: values in ``BANDS`` bands
+of ``BAND`` find candidates, and a pair of similarity 0.8 shares no band with a chance of 3 in a
+million, a closer one with less. In a bucket every node of another part is first compared with the
+bucket's smallest, its pivot, which joins large groups by as many pairs as they have rows.
 
 Buckets that this leaves in several parts go on by differences: where D = x ^ p is what tells x
 from the pivot p, |x ^ y| = |Dx ^ Dy|, so the test stays exact while what all have in common no
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 from dockmill.llm.common import BROADCAST_KEYS, cut, keep_rows, small_batches
 from dockmill.llm.components import connected_components
+from dockmill.llm.simhash import RADIUS, link_fingerprints, majority
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND = 24, 4
@@ -58,20 +62,21 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, text_key, node (a hash of the whole set) and the band keys, which a text without words has none of."""
+    """doc_id, text_key, node (a hash of the whole set), fp (the set's SimHash) and the band keys, which a text without words has none of."""
     import xxhash
 
     def run(batches):
         for batch in batches:
-            nodes, keys = [], []
+            nodes, fps, keys = [], [], []
             for t in batch.column(1).cast(pa.binary()):
                 hashes = shingle_hashes(t.as_py() or b"", words)
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), seed=7))
+                fps.append(majority(hashes) if len(hashes) else 0)
                 keys.append(band_keys(hashes) if len(hashes) else [])
-            nodes = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), nodes, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "node", "bands"])
+            nodes, fps = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), nodes, fps, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "node", "fp", "bands"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_key long, node long, bands array<long>")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_key long, node long, fp long, bands array<long>")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -282,21 +287,41 @@ def mixed_links(parts: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return tile_links(met, max(1, min(int(tiles), 4 * shuffles), int(tiles) // 64), similarity)
 
 
+def simhash_pairs(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b) of the nodes (node, fp) that SimHash takes for copies, each fingerprint as its smallest node, which is a pair with every other node of the fingerprint and with that of every fingerprint within ``radius`` bits."""
+    least = cut(marked.groupBy("fp").agg(F.min("node").alias("least")))
+    same = marked.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    met = link_fingerprints(least.select("fp"), radius)
+    near = met.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose nodes ``roots`` (node, root) don't join."""
+    few = F.broadcast(roots) if roots.count() <= BROADCAST_KEYS else roots
+    one, two = (few.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
+    return pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
 def near_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(a, b) between nodes of ``rows`` whose sets have at least ``similarity``; together they link all such nodes that share a band."""
-    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key", "bands")).alias("x"))
+    """(a, b) between nodes of ``rows`` whose sets have at least ``similarity``; together they link all such nodes that share a band, and those that SimHash finds."""
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key", "fp", "bands")).alias("x"))
+    alike = cut(simhash_pairs(cut(nodes.where(F.size("x.bands") > 0).select("node", F.col("x.fp").alias("fp")))))
     members = nodes.select("node", F.posexplode("x.bands").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = cut(members.join(buckets, ["band", "key"]))  # those that share a bucket
-    wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("x.doc_id").alias("__id"), F.col("x.text_key").alias("__key"))
+    named = alike.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node"))
+    wanted = named.distinct().join(nodes, "node").select("node", F.col("x.doc_id").alias("__id"), F.col("x.text_key").alias("__key"))
     wanted = cut(wanted)
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     texts = _texts(docs, id_col, text_col)
     found = texts.join(few, texts["doc_id"].eqNullSafe(few["__id"]) & (texts["text_key"] == few["__key"])).select("node", "text")
     sets = cut(shingle_sets(found, words).dropDuplicates(["node"]))
 
-    stars = cut(members.select(F.col("first").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
-    links = cut(verified(stars, sets, similarity))
+    copies = cut(verified(alike, sets, similarity))
+    stars = members.select(F.col("first").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    stars = cut(apart(stars, cut(connected_components(copies))))
+    links = cut(copies.unionByName(verified(stars, sets, similarity)))
     roots = connected_components(links)
     parts = members.join(roots, "node", "left").select("band", "key", "first", "node", F.coalesce("root", "node").alias("part"))
     mixed = parts.groupBy("band", "key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n"))
@@ -314,7 +339,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = cut(signatures(docs, id_col, text_col, words))
     roots = cut(connected_components(near_links(docs, rows, id_col, text_col, words, similarity)))
-    named = cut(rows.drop("bands").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root")))
+    named = cut(rows.drop("fp", "bands").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root")))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
     kept = named.join(first, "root").select("doc_id", F.col("text_key").alias("key"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).alias("kept"))
     return keep_rows(docs, kept, id_col, F.xxhash64(text_col))

@@ -39,9 +39,13 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
         return 0
     shingles = map(b" ".join, zip(*(parts[k:] for k in range(words)), strict=False)) if len(parts) >= words else [b" ".join(parts)]
     n = max(1, len(parts) - words + 1)
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), "<u8", n)
-    counts = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    return majority(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), "<u8", n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes (of 64 bits, at least one) set, as unsigned."""
+    counts = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dockmill.llm import near_jaccard
@@ -125,3 +126,38 @@ def test_texts_a_little_under_the_similarity(spark, monkeypatch, nodes, rows):
     want = sorted(set(root))
     assert 10 < len(want) < len(docs) - 10 and 0.002 < linked.mean() < 0.7
     assert kept(spark, docs) == want
+
+
+def test_simhash_step(spark):
+    """Fingerprints within 3 bits are found whatever the bands are; what is less alike than the similarity is not linked by them."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    docs = []
+    for n in (300, 600, 2000, 2000):
+        base = [rng.choice(words) for _ in range(n)]
+        for change in range(6):
+            copy = [*base]
+            for _ in range(change // 2):
+                copy[rng.randrange(n)] = rng.choice(words)
+            docs.append(" ".join(copy))
+    docs += ["a b c d e f", "x y", "", None]
+    df = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string")
+    rows = near_jaccard.signatures(df, "doc_id", "text", 5).cache()
+    held = {r.node: r.fp for r in rows.collect() if r.bands}
+    sets = {r.node: shingles(docs[r.doc_id]) for r in rows.collect() if r.bands}
+    fps = [(near_jaccard.majority(near_jaccard.shingle_hashes((t or "").encode())), t) for t in docs if (t or "").strip()]
+    assert {f for f, _ in fps} == {f % (1 << 64) for f in held.values()}
+
+    def parts(pairs):
+        root = {x: x for x in held}
+        for _ in held:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    bits = [(a, b) for a in held for b in held if a < b and ((held[a] ^ held[b]) % (1 << 64)).bit_count() <= 3]
+    got = [tuple(r) for r in near_jaccard.simhash_pairs(rows.where("size(bands) > 0").select("node", "fp").distinct()).collect()]
+    assert bits and {tuple(sorted(p)) for p in got} <= {*bits} and parts(got) == parts(bits)
+    alone = rows.withColumn("bands", F.when(F.size("bands") > 0, F.array("node")).otherwise(F.col("bands")))  # no two share a band
+    links = [tuple(r) for r in near_jaccard.near_links(df, alone, "doc_id", "text", 5, 0.8).collect()]
+    assert links and parts(links) == parts([(a, b) for a, b in bits if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
