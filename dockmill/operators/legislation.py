@@ -1,7 +1,7 @@
 """Tables of contents of acts: sections with the part and division they stand under, flat and nested, and search.
 
-A page becomes its events in document order, headings and links; headings are then carried forward
-to the links behind them, the division within its part alone.
+A page becomes its events in document order, headings and links; headings are carried forward to
+the links behind them as it is read, the division within its part alone.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockmill.functions.cases import text
-from dockmill.operators.carry import carried
+from dockmill.sources.shared import small_batches
 
 # What counts as a heading, a section's page, its number, and a date of amendment.
 HEADINGS = {"h1", "h2", "h3", "h4", "b", "strong"}
@@ -28,7 +28,7 @@ LONGEST_HEADING = 1000
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b([^<>]*)>|<!--|<(?=[!?])[^<>]*>")
 ATTRIBUTE = re.compile(r"""\b(href|class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in ("script", "style")}
-SCHEMA = "page_id long, pos int, kind string, text string, href string"
+SCHEMA = "page_id long, pos int, href string, url string, text string, part string, division string"
 
 
 class Page:
@@ -116,44 +116,52 @@ class Page:
         return sorted(out)
 
 
-def contents_events(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, kind, text, href) of (page_id, html); a null page has none."""
+def page_sections(html: str, url: str) -> list[tuple[int, str, str, str, str | None, str | None]]:
+    """(pos, href, url, text, part, division) of a page's links to sections, each section once, where it stands first."""
+    found, part, division, folder = {}, None, None, None
+    for place, kind, said, href in Page(html).events():
+        if kind == "part":
+            part, division = said, None
+        elif kind == "division":
+            division = said
+        elif href not in found:
+            if folder is None:  # a section's page is a plain name, so every link leads to one folder
+                folder = urljoin(url, "s0.html").removesuffix("s0.html")
+            found[href] = (place, href, folder + href, said, part, division)
+    return [*found.values()]
+
+
+def contents(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, href, url, text, part, division) of (page_id, url, html); a null page has none."""
+    names, kinds = ["page_id", "pos", "href", "url", "text", "part", "division"], [pa.int64(), pa.int32(), *[pa.string()] * 5]
 
     def run(batches):
         for batch in batches:
-            rows = [(i, *e) for i, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for e in Page(html.as_py() or "").events()]
-            columns = [*zip(*rows, strict=True)] if rows else [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["page_id", "pos", "kind", "text", "href"])
+            rows = [(i, *x) for i, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True) for x in page_sections(html.as_py() or "", url)]
+            columns = [*zip(*rows, strict=True)] if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, SCHEMA)
+    wanted = pages.select(F.col("page_id").cast("long"), text(F.col("url")).cast("string"), F.col("html").cast("string")).where("page_id IS NOT NULL")
+    return small_batches(wanted).mapInArrow(run, SCHEMA)
 
 
 def sections(pages: DataFrame, pieces: int | None = None) -> DataFrame:
     """page_id, pos, section_id, url, number, title, part, division of (page_id, url, html), each section once a page, where it stands first.
 
     A part ends the division before it. A section before any heading has an empty part and
-    division. A heading without a closing tag, or over 1,000 signs long, is none.
+    division. A heading without a closing tag, or over 1,000 signs long, is none. A page is one row
+    and its headings are carried forward as it is read; rows of one page are told apart, and
+    ``pieces`` deals the sections to that many tasks.
     """
-
-    @F.pandas_udf("string")
-    def joined(base, href):
-        return base.combine(href, lambda b, h: urljoin(b or "", h))
-
-    found = contents_events(pages)
-    found = found.withColumns({"part_at": F.when(F.col("kind") == "part", F.struct("pos", "text")), "division_here": F.when(F.col("kind") == "division", F.col("text"))})
-    found = carried(found, "page_id", "pos", "part_at", "in_part", pieces)
-    found = found.withColumn("part_pos", F.coalesce("in_part.pos", F.lit(-1)))
-    found = carried(found, ["page_id", "part_pos"], "pos", "division_here", "in_division", pieces)
-    links = found.where("kind = 'link'").withColumn("section_id", F.replace("href", F.lit(".html"), F.lit("")))
-    first = links.groupBy("page_id", "section_id").agg(F.min_by(F.struct("pos", "href", "text", "in_part", "in_division"), "pos").alias("x")).select("page_id", "section_id", "x.*")
+    found = contents(pages).withColumn("section_id", F.replace("href", F.lit(".html"), F.lit("")))
+    if pieces:
+        found = found.repartition(pieces, "page_id", "section_id")
+    rest = F.struct("pos", "url", "text", "part", "division")
+    first = found.groupBy("page_id", "section_id").agg(F.min(rest).alias("x")).select("page_id", "section_id", "x.*")
     numbered = F.col("text").rlike(r"^\d+[A-Za-z]?\s+")
     number = F.when(numbered, F.regexp_extract("text", r"^(\d+[A-Za-z]?)\s+", 1)).otherwise(F.col("text"))
     title = F.when(numbered, F.trim(F.regexp_extract("text", r"^\d+[A-Za-z]?\s+(.*)", 1))).otherwise("")
-    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), text(F.col("url")).alias("base")).dropDuplicates(["page_id"])
-    return first.join(urls, "page_id").select(
-        "page_id", "pos", "section_id", joined("base", "href").alias("url"), number.alias("number"), title.alias("title"), F.coalesce("in_part.text", F.lit("")).alias("part"), F.coalesce("in_division", F.lit("")).alias("division"),
-    )
+    return first.select("page_id", "pos", "section_id", "url", number.alias("number"), title.alias("title"), F.coalesce("part", F.lit("")).alias("part"), F.coalesce("division", F.lit("")).alias("division"))
 
 
 def nested(flat: DataFrame) -> DataFrame:

@@ -51,6 +51,15 @@ def test_sections(spark):
     ]
 
 
+def test_headings_of_a_page_stay_in_its_row(spark):
+    """Rows of one page are read one by one, so a heading of one isn't carried to a link of another."""
+    said = [(1, "http://a.org/x/", '<h2>Part 1</h2><b>Division 1</b><a href="s1.html">1 One</a>'), (1, "http://a.org/y/", '<p><p><p><p><p><a href="s2.html">2 Two</a>'), (None, "u", '<a href="s3.html">3 Three</a>')]
+    df = spark.createDataFrame(said, "page_id long, url string, html string")
+    got = sorted((r.section_id, r.url, r.part, r.division) for r in law.sections(df).collect())
+    assert got == [("s1", "http://a.org/x/s1.html", "Part 1", "Division 1"), ("s2", "http://a.org/y/s2.html", "", "")]
+    assert law.sections(df.where("false")).collect() == []
+
+
 def test_containers():
     pages = ['<div id="content"><a href="s1.html">1</a></div><div class="body"><a href="s2.html">2</a></div>', '<div id="textofelements"><div></div><a href="s3.html">3</a></div><a href="s4.html">4</a>', '<script><a href="s5.html">5</a></script><!-- <a href="s6.html"> --><a href="s7.html">7']
     assert [[e[3] for e in law.Page(p).events()] for p in pages] == [["s2.html"], ["s3.html"], ["s7.html"]]
