@@ -1,11 +1,13 @@
 """Country, representation and bench: a row for each rule, and texts that are hostile to patterns."""
 
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from dockmill.functions import origin, places, rules
+from dockmill.plans import decisions
 
 LONG = "word " * 120
 
@@ -117,3 +119,20 @@ def test_columns(spark):
     got = df.select("id", origin.country_of_origin(F.col("a")).alias("country"), origin.normal_country(F.col("a")).alias("named"), rules.represented_by(F.col("b")).alias("r"), rules.sitting_judge(F.col("c")).alias("judge")).orderBy("id").collect()
     assert (got[0].country, tuple(got[0].r), got[0].judge) == ("China", ("Yes", "Ms Jane Roe"), "Mary Smith J")
     assert (got[1].country, got[1].named, tuple(got[1].r), got[1].judge) == ("", "", ("", ""), "")
+
+
+def test_countries_by_their_last_words_alone(monkeypatch):
+    """Rules that no country can follow are left out; all rules asked say the same."""
+    rng = random.Random(15)
+    parts = ["citizen of", "national  of", "born in", "fled from", "the applicant is from", "harm in", "return to", "applicant", "passport", "Iran", "\u0130ran", "fiji", "Chad.", "Peru", "New Zealand", "of\n", "\u0131n", "FROM\t", "o\u017f", "word", " ", " " * 70, ":", "x" * 600]
+    said = [rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(4000)] + [t for t, _ in COUNTRY]
+    got = [origin.country_in(t) for t in said]
+    monkeypatch.setattr(origin.Names, "_tails", lambda self, start: origin.TAILS)
+    assert got == [origin.country_in(t) for t in said] and len(set(got)) > 5
+
+
+def test_decisions_are_dealt_by_case(spark):
+    """Few bytes of Parquet are one task's share of a scan; texts are made and read behind a shuffle of narrow rows."""
+    rows = decisions.analogue_decisions(spark, "/root/testdata/sf0.001", "told")
+    spread = spark.sparkContext._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "simple")
+    assert "hashpartitioning(case_id" in spread
