@@ -63,7 +63,8 @@ u AS (SELECT judge, count(*) FILTER (case_id % 5 > 2) AS unknown_representation
 SELECT judge, total, wins, win_rate AS approval_rate, first_year, last_year, unknown_representation, c.key AS primary_court, outcomes, top_subclasses, (SELECT count(*) FROM n) AS total_judges
 FROM n JOIN c USING (judge) JOIN s USING (judge) JOIN v USING (judge) JOIN y USING (judge) JOIN u USING (judge) WHERE k = 1 ORDER BY win_rate DESC, total DESC, judge LIMIT 30""")
 def judge_board(spark, d):
-    board = profiles.leaderboard(judged(spark, d), by="approval_rate", name="1", min_cases=5, limit=30)
+    cases = analogue_cases(spark, d).withColumn("represented", F.expr(REPRESENTED))  # a board tells nothing of concepts
+    board = profiles.leaderboard(cases.join(analogue_judges(spark, d), "case_id"), by="approval_rate", name="1", min_cases=5, limit=30)
     outcomes = F.array_join(F.transform(F.map_entries("outcomes"), lambda x: F.concat_ws(":", x["key"], x["value"])), "|")
     top = F.array_join(F.transform("top_subclasses", lambda x: F.concat_ws(":", x["subclass"], x["count"])), "|")
     return board.select("judge", "total", "wins", "approval_rate", "first_year", "last_year", "unknown_representation", "primary_court", outcomes.alias("outcomes"), top.alias("top_subclasses"), "total_judges")

@@ -115,6 +115,12 @@ def test_leaderboard(two_judges):
         order(by="court")
 
 
+def test_leaderboard_needs_no_concepts(two_judges):
+    """A board is told from a judge's cases alone, so concepts need not be joined to them."""
+    narrow = two_judges.drop("concepts", "nature", "country")
+    assert sorted(map(str, profiles.leaderboard(narrow).collect())) == sorted(map(str, profiles.leaderboard(two_judges).collect()))
+
+
 def test_comparison(two_judges):
     got = profiles.compared(two_judges, ["beta", "Alpha ", "BETA", "Nobody"]).where("section = 'all'").orderBy("place").collect()
     assert [(r.place, r.judge, r.total, r.win_rate) for r in got] == [(1, "Beta", 5, 60.0), (2, "Alpha", 7, 57.1), (3, "nobody", 0, 0.0)]
