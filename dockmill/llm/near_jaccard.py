@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockmill.llm.common import BROADCAST_KEYS, cut, keep_rows, small_batches
+from dockmill.llm.common import BROADCAST_KEYS, cut, keep_rows, partitions_for, small_batches
 from dockmill.llm.components import connected_components
 from dockmill.llm.simhash import RADIUS, link_fingerprints, majority
 
@@ -287,9 +287,13 @@ def mixed_links(parts: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return tile_links(met, max(1, min(int(tiles), 4 * shuffles), int(tiles) // 64), similarity)
 
 
+#: Fingerprints that a task reads at once; it only decides how many tasks and files the search has.
+FINGERPRINTS = 10_000
+
+
 def simhash_pairs(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b) of the nodes (node, fp) that SimHash takes for copies, each fingerprint as its smallest node, which is a pair with every other node of the fingerprint and with that of every fingerprint within ``radius`` bits."""
-    least = cut(marked.groupBy("fp").agg(F.min("node").alias("least")))
+    least = cut(marked.groupBy("fp").agg(F.min("node").alias("least")).coalesce(partitions_for(marked.count(), FINGERPRINTS)))
     same = marked.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     met = link_fingerprints(least.select("fp"), radius)
     near = met.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dockmill.llm import near_jaccard
+from dockmill.llm import components, near_jaccard
 
 
 def shingles(text):
@@ -161,3 +161,28 @@ def test_simhash_step(spark):
     alone = rows.withColumn("bands", F.when(F.size("bands") > 0, F.array("node")).otherwise(F.col("bands")))  # no two share a band
     links = [tuple(r) for r in near_jaccard.near_links(df, alone, "doc_id", "text", 5, 0.8).collect()]
     assert links and parts(links) == parts([(a, b) for a, b in bits if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+
+
+@pytest.mark.parametrize("edges", [100_000, 40])
+def test_components_in_few_tasks(spark, monkeypatch, edges):
+    """Rounds over few links take few tasks and files, however many partitions the session shuffles to."""
+    monkeypatch.setattr(components, "EDGES", edges)
+    rng = random.Random(6)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(500, 540)] + [(900, k) for k in range(901, 940)] + [(7, 7)]
+    root = {x: x for p in links for x in p if p[0] != p[1]}
+    for _ in root:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(before, ("23", "false", "1"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        got = components.connected_components(spark.createDataFrame(links, "a long, b long").repartition(9))
+        assert sorted(map(tuple, got.collect())) == sorted(root.items())
+        if edges > 1000:
+            assert got.rdd.getNumPartitions() == 1
+        assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
